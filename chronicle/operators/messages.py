@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronicle.functions import calendar, ordered, stats, text
 from chronicle.params import Params
-from chronicle.session import checkpointed
+from chronicle.session import staged
 
 REPLY_LIMIT = "INTERVAL '24' HOUR"
 SILENCE = "INTERVAL '6' HOUR"
@@ -27,12 +27,12 @@ def contact_roots(contacts: DataFrame) -> DataFrame:
     living = contacts.filter(F.col("merged_into").isNull()).select(
         "id", F.col("id").alias("root"), F.col("display_name").alias("label")
     )
-    pending = checkpointed(
+    pending = staged(
         contacts.filter(F.col("merged_into").isNotNull()).select("id", "merged_into")
     )
     targets, solved = living, []
     while not pending.isEmpty():
-        found = checkpointed(
+        found = staged(
             pending.join(targets.withColumnRenamed("id", "merged_into"), "merged_into").select(
                 "id", "root", "label"
             )
@@ -42,7 +42,7 @@ def contact_roots(contacts: DataFrame) -> DataFrame:
         solved.append(found)
         rest = pending.join(found.select("id"), "id", "left_anti")
         ahead = rest.select(F.col("id").alias("merged_into"), F.col("merged_into").alias("_ahead"))
-        pending = checkpointed(
+        pending = staged(
             rest.join(ahead, "merged_into", "left").select(
                 "id", F.coalesce("_ahead", "merged_into").alias("merged_into")
             )
@@ -174,7 +174,7 @@ def _positions(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
 
     The sorted rows are written once: a second run of the sort could cut its ranges elsewhere.
     """
-    rows = checkpointed(
+    rows = staged(
         df.orderBy(group, *order).withColumns(
             {"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}
         )
