@@ -87,7 +87,10 @@ def json_records(pieces: DataFrame, member: str | None = None) -> DataFrame:
 
 def _of_member(records: DataFrame, member: str) -> DataFrame:
     """Keep objects of one array: each array's first object still carries the array's name."""
-    opening = r'^[^{"]*\{?[^{"]*"((?:[^"\\]|\\.)*)"\s*:\s*\['
+    # The file's own brace, other members without objects, then the name of this array.
+    opening = (
+        r'^(?:\s*\{)?(?:[^{"]|"(?:[^"\\]|\\.)*+")*?"((?:[^"\\]|\\.)*+)"\s*:\s*\[\s*\{'
+    )
     named = staged(
         records.withColumns(
             {
@@ -100,6 +103,6 @@ def _of_member(records: DataFrame, member: str) -> DataFrame:
     wanted = named.filter((F.col("_opens") == 1) & (F.col("_name") == member)).select("path", "_array")
     return (
         named.join(wanted, ["path", "_array"], "left_semi")
-        .withColumn("_text", F.when(F.col("_opens") == 1, F.regexp_replace("_text", opening, "")).otherwise(F.col("_text")))
+        .withColumn("_text", F.when(F.col("_opens") == 1, F.regexp_replace("_text", opening, "{")).otherwise(F.col("_text")))
         .select("path", "block", "pos", F.regexp_replace("_text", r"^[^{]*", "").alias("record"))
     )

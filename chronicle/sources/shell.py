@@ -86,7 +86,7 @@ def bash_records(lines: DataFrame) -> DataFrame:
 def _events(records: DataFrame, shell: Column, source: str) -> tuple[DataFrame, DataFrame]:
     ts = F.timestamp_seconds("epoch")
     in_range = F.col("epoch").between(0, 253402300799)
-    good = F.coalesce(in_range, F.lit(False)) & (F.trim("command") != "")
+    good = F.coalesce(in_range, F.lit(False)) & F.col("command").rlike(r"(?U)\S")
     refused = records.filter(~good)
     rows = records.filter(good).withColumn("shell", shell)
     fields = (F.col("shell"), F.col("epoch"), F.col("command"))
