@@ -44,12 +44,12 @@ def unseen(rows: DataFrame, stored: DataFrame | None) -> DataFrame:
     """Rows whose id is not stored yet.
 
     Ids are derived from the timestamp among other fields, so a stored copy lies in the same month
-    and only the months of the batch are read.
+    and only the folders of the batch's months are read. These are twelve names per year of data.
     """
     if stored is None:
         return rows
-    months = F.broadcast(rows.select("month").distinct())  # twelve rows per year of data
-    known = stored.join(months, "month", "left_semi").select("month", "id")
+    months = sorted(row["month"] for row in rows.select("month").distinct().collect())
+    known = stored.filter(F.col("month").isin(months)).select("month", "id")
     return rows.join(known, ["month", "id"], "left_anti")
 
 

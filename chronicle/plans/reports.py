@@ -1,0 +1,201 @@
+"""Registered queries of the table services, the yearly composites and whole imports."""
+
+from __future__ import annotations
+
+from datetime import date
+from uuid import uuid4
+
+from pyspark.sql import functions as F
+
+from chronicle.operators import ingest, services
+from chronicle.params import Params
+from chronicle.plans import adapters as A
+from chronicle.plans import exports as X
+from chronicle.plans import registry, yearly
+from chronicle.plans.ingestion import _STATEMENTS
+from chronicle.plans.query import register, rounded
+from chronicle.session import checkpoint_folder
+from chronicle.sources import bank
+
+
+def _tables(s, d):
+    return {
+        "messages": A.messages_yearly(s, d),
+        "media_plays": A.media_plays(s, d),
+        "transactions": A.transactions(s, d),
+        "events": A.events(s, d),
+    }
+
+
+_VIEWS = ("messages_yearly", "media_plays", "transactions", "events")
+register(
+    "table_profile",
+    lambda s, d: services.table_profile({**_tables(s, d), "contacts": A.contacts(s, d)}).select(
+        "table", "rows", F.unix_micros("min_ts").alias("min_ts"), F.unix_micros("max_ts").alias("max_ts")
+    ),
+    A.with_views(*_VIEWS, "contacts").rstrip(",\n") + """
+    SELECT 'messages' AS "table", count(*) AS rows, epoch_us(min(ts)) AS min_ts, epoch_us(max(ts)) AS max_ts FROM messages
+    UNION ALL SELECT 'media_plays', count(*), epoch_us(min(ts)), epoch_us(max(ts)) FROM media_plays
+    UNION ALL SELECT 'transactions', count(*), epoch_us(min(ts)), epoch_us(max(ts)) FROM transactions
+    UNION ALL SELECT 'events', count(*), epoch_us(min(ts)), epoch_us(max(ts)) FROM app_events
+    UNION ALL SELECT 'contacts', count(*), NULL, NULL FROM contacts""",
+)
+register(
+    "bounded_preview",
+    lambda s, d: services.bounded_preview(
+        A.table(s, d, "documents").select(
+            "doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("n_chars") / 2).alias("half")
+        ).orderBy("doc_id")
+    ),
+    """SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 499) || '…' ELSE text END AS text,
+        CASE WHEN doc_id % 3 <> 0 THEN n_chars / 2 END AS half, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS non_finite,
+        length(text) > 500 AS cut, (SELECT count(*) FROM documents) AS row_count,
+        length(text) > 500 OR (SELECT count(*) FROM documents) > 200 AS truncated
+    FROM documents ORDER BY doc_id LIMIT 200""",
+)
+_QUESTION = """WITH big AS (SELECT o_custkey, trim(o_orderpriority) AS p, o_totalprice FROM {orders})
+    SELECT split_part(p, '-', 2) AS priority, count(*) FILTER (WHERE o_totalprice > 1000) AS large,
+        round(max(o_totalprice), 1) AS top FROM big GROUP BY split_part(p, '-', 2)"""
+
+
+def _question(s, d):
+    A.table(s, d, "orders").createOrReplaceTempView("chronicle_orders")
+    return s.sql(services.read_only(_QUESTION.format(orders="chronicle_orders") + " -- a remark"))
+
+
+register("bounded_query", _question, _QUESTION.format(orders="orders"))
+
+
+def _export(s, d):
+    rows = A.table(s, d, "conversations").withColumn("words", F.split("text", " "))
+    counts = [
+        (fmt, services.export_table(rows, f"{checkpoint_folder(s)}/export-{uuid4().hex}", fmt))
+        for fmt in ("csv", "parquet")
+    ]
+    return s.createDataFrame(counts, "format string, rows bigint")
+
+
+register(
+    "export_table",
+    _export,
+    """SELECT unnest(['csv', 'parquet']) AS format, (SELECT count(*) FROM conversations) AS rows""",
+)
+
+
+def _imports(s, d):
+    """The same statements imported twice into a new warehouse."""
+    warehouse = f"{checkpoint_folder(s)}/warehouse-{uuid4().hex}"
+    rows, _ = bank.transactions_from_csv(X.statement_lines(s, d))
+    for run in ("first", "second"):
+        ingest.run_import(rows, "transactions", warehouse, "bank_csv", import_id=run)
+    ledger = ingest.imports(s.read.parquet(f"{warehouse}/imports"))
+    return ledger.select("id", "connector", "status", "rows_seen", "rows_inserted")
+
+
+register(
+    "run_import",
+    _imports,
+    _STATEMENTS + """ SELECT unnest(['first', 'second']) AS id, 'bank_csv' AS connector, 'succeeded' AS status,
+        count(*) AS rows_seen, unnest([count(DISTINCT (mapping, account, ts, amount, currency, merchant_raw, balance, occurrence)), 0])
+        AS rows_inserted FROM copies""",
+)
+
+# ---- yearly -----------------------------------------------------------------------------------
+
+# The events of the tables are years later than everything else.
+UNTIL = Params(date_to=date(2000, 12, 31))
+_COMPARED = ("messages.activity_heatmap", "money.income_vs_spend", "music.discovery_rate", "music.listening_minutes")
+
+
+def _compared(s, d, ids=_COMPARED):
+    known = registry.operators()
+    return yearly.year_over_year(s, _tables(s, d), UNTIL, [known[i] for i in ids])
+
+
+_SPEND = """CASE WHEN kind = 'refund' THEN -amount WHEN amount < 0 AND kind NOT IN ('exchange', 'topup') THEN -amount ELSE 0 END"""
+_INCOME = "CASE WHEN amount > 0 AND kind NOT IN ('exchange', 'topup', 'refund') THEN amount ELSE 0 END"
+_YEARLY = A.with_views(*_VIEWS) + f"""span AS (SELECT greatest((SELECT max(ts) FROM messages), (SELECT max(ts) FROM media_plays),
+        (SELECT max(ts) FROM transactions), (SELECT max(ts) FROM app_events)) AS m),
+    capped AS (SELECT least(m::DATE, DATE '2000-12-31') AS m FROM span),
+    yr AS (SELECT year(m) - CASE WHEN month(m) = 12 AND day(m) = 31 THEN 0 ELSE 1 END AS y FROM capped),
+    years AS (SELECT unnest([y, y - 1]) AS yy, y FROM yr),
+    cur AS (SELECT currency FROM transactions, yr WHERE year(ts) BETWEEN y - 1 AND y GROUP BY currency
+        ORDER BY count(*) DESC, currency LIMIT 1),
+    firsts AS (SELECT artist, date_trunc('month', min(ts)) AS f FROM media_plays GROUP BY artist),
+    discovery AS (SELECT date_trunc('month', ts) AS b, count(*) FILTER (WHERE f = date_trunc('month', ts)) / count(*) AS r
+        FROM media_plays JOIN firsts USING (artist) GROUP BY b),
+    monthly AS (SELECT date_trunc('month', ts) AS b, sum({_INCOME})::DOUBLE AS i, sum({_SPEND})::DOUBLE AS s
+        FROM transactions WHERE currency = (SELECT currency FROM cur) GROUP BY b),
+    heads AS (
+        SELECT 'messages.activity_heatmap' AS dig_id, 'Night-owl index' AS label, 'Activity by local hour' AS dig_title, '%' AS unit,
+            year(ts) AS yy, round(100.0 * count(*) FILTER (WHERE hour(ts) < 5) / count(*), 1) AS v FROM messages WHERE is_from_me GROUP BY year(ts)
+        UNION ALL SELECT 'music.listening_minutes', 'Listening time', 'Listening time', 'hours', year(ts), round(sum(ms_played) / 60000.0 / 60, 1) FROM media_plays GROUP BY year(ts)
+        UNION ALL SELECT 'music.discovery_rate', 'Average monthly discovery', 'New artist discovery', '%', year(b), round(100 * avg(r), 1) FROM discovery GROUP BY year(b)
+        UNION ALL SELECT 'money.income_vs_spend', 'Average savings rate', 'Income and spending', '%', year(b), round(100 * avg((i - s) / nullif(i, 0)), 1) FROM monthly GROUP BY year(b)),
+    pairs AS (SELECT a.dig_id, a.label, a.dig_title, CASE WHEN a.unit = '%' THEN 'pp' ELSE '%' END AS delta_unit, a.unit,
+        a.v::DOUBLE AS this_year, b.v::DOUBLE AS last_year, CASE WHEN a.unit = '%' THEN a.v - b.v ELSE (a.v - b.v) / abs(nullif(b.v, 0)) * 100 END AS delta,
+        y AS year, y - 1 AS previous_year FROM yr JOIN heads a ON a.yy = y JOIN heads b ON b.yy = y - 1 AND b.dig_id = a.dig_id
+        WHERE a.v IS NOT NULL AND b.v IS NOT NULL)"""
+register(
+    "year_over_year",
+    lambda s, d: rounded(_compared(s, d), "delta_pct"),
+    _YEARLY + """ SELECT dig_id, label, dig_title, delta_unit, 4 - (SELECT count(*) FROM pairs) AS skipped_digs, unit, this_year,
+        last_year, round(delta, 6) AS delta_pct, year, previous_year FROM pairs""",
+)
+register(
+    "year_over_year_all",
+    lambda s, d: rounded(
+        yearly.year_over_year(s, _tables(s, d), UNTIL).select("dig_id", "label", "this_year", "last_year", "delta_pct"),
+        "this_year", "last_year", "delta_pct", places=4,
+    ),
+)
+register(
+    "year_summary",
+    lambda s, d: rounded(
+        yearly.year_summary({k: v for k, v in _tables(s, d).items() if k != "transactions"}, 1998, Params(), names=True), "value"
+    ),
+    A.with_views("messages_yearly", "media_plays", "events") + """
+    m AS (SELECT * FROM messages WHERE year(ts) = 1998), p AS (SELECT * FROM media_plays WHERE year(ts) = 1998),
+    people AS (SELECT chat_name AS contact, count(*) AS n FROM m GROUP BY chat_name ORDER BY n DESC, contact LIMIT 3),
+    busy AS (SELECT hour(ts) AS h, count(*) AS n FROM m WHERE is_from_me GROUP BY h ORDER BY n DESC, h LIMIT 1),
+    night AS (SELECT round(100.0 * count(*) FILTER (WHERE hour(ts) < 5) / count(*), 1) AS v FROM m WHERE is_from_me),
+    tracks AS (SELECT artist, track, sum(ms_played) AS ms FROM p WHERE media_kind = 'track' GROUP BY ALL),
+    artists AS (SELECT artist, sum(ms) AS ms FROM tracks GROUP BY artist)
+    SELECT 'numbers' AS section, 'messages' AS metric, NULL AS label, count(*)::DOUBLE AS value, 'messages' AS unit FROM m
+    UNION ALL SELECT 'circle', 'contact', contact, n, 'messages' FROM people
+    UNION ALL SELECT 'circle', 'contact_share', contact, round(n / (SELECT count(*) FROM m), 6), 'share' FROM people
+    UNION ALL SELECT 'rhythm', 'busiest_hour', NULL, h, 'hour' FROM busy
+    UNION ALL (SELECT 'rhythm', 'busiest_weekday', NULL, isodow(ts), 'weekday' FROM m WHERE is_from_me GROUP BY isodow(ts)
+        ORDER BY count(*) DESC, isodow(ts) LIMIT 1)
+    UNION ALL SELECT 'rhythm', 'night_share', CASE WHEN v >= 15 OR h >= 23 OR h < 4 THEN 'Night owl, confirmed'
+        WHEN h BETWEEN 5 AND 9 THEN 'Early riser' ELSE 'Your rhythm' END, v, '%' FROM night, busy
+    UNION ALL SELECT 'numbers', 'listening', NULL, round(sum(ms_played) / 60000.0 / 60, 1), 'hours' FROM p
+    UNION ALL (SELECT 'soundtrack', 'top_artist', artist, round(ms / 60000.0 / 60, 6), 'hours' FROM artists ORDER BY ms DESC, artist LIMIT 1)
+    UNION ALL (SELECT 'soundtrack', 'top_track', track || ' · ' || artist, round(ms / 60000.0 / 60, 6), 'hours' FROM tracks
+        ORDER BY ms DESC, artist, track LIMIT 1)
+    UNION ALL (SELECT 'soundtrack', 'peak_month', NULL, month(ts), 'month' FROM p GROUP BY month(ts)
+        ORDER BY sum(ms_played) DESC, month(ts) LIMIT 1)""",
+)
+register(
+    "year_summary_money",
+    lambda s, d: rounded(
+        yearly.year_summary({"transactions": A.transactions(s, d)}, 1998, Params(currency="EUR"), amounts=True), "value", places=4
+    ),
+    A.with_views("transactions") + f"""
+    t AS (SELECT *, regexp_matches(coalesce(merchant, merchant_raw), '(?i)\\b(glovo|uber eats)\\b') AS food FROM transactions
+        WHERE currency = 'EUR' AND year(ts) IN (1997, 1998)),
+    totals AS (SELECT sum({_SPEND})::DOUBLE AS s, sum(CASE WHEN food THEN {_SPEND} ELSE 0 END)::DOUBLE AS f FROM t WHERE year(ts) = 1998),
+    monthly AS (SELECT date_trunc('month', ts) AS b, sum({_INCOME})::DOUBLE AS i, sum({_SPEND})::DOUBLE AS s FROM t GROUP BY b),
+    rates AS (SELECT year(b) AS y, round(100 * avg((i - s) / nullif(i, 0)), 1) AS r FROM monthly GROUP BY year(b)),
+    cadence AS (SELECT merchant, median(gap) AS g FROM (SELECT coalesce(merchant, merchant_raw) AS merchant, date_diff('day',
+        lag(ts::DATE) OVER (PARTITION BY coalesce(merchant, merchant_raw) ORDER BY ts, id), ts::DATE) AS gap
+        FROM t WHERE year(ts) = 1998 AND amount < 0 AND kind <> 'topup') GROUP BY merchant HAVING count(*) >= 3)
+    SELECT 'numbers' AS section, 'transactions' AS metric, NULL AS label, count(*)::DOUBLE AS value, 'transactions' AS unit
+        FROM transactions WHERE year(ts) = 1998
+    UNION ALL SELECT 'money', 'active_subscriptions', NULL, 0, 'subscriptions'
+    UNION ALL SELECT 'money', 'subscription_cost', NULL, 0, 'EUR'
+    UNION ALL SELECT 'money', 'delivery_share', NULL, round(least(greatest(f / s, 0), 1), 4), 'share' FROM totals WHERE s > 0
+    UNION ALL SELECT 'money', 'delivery_spend', NULL, round(f, 4), 'EUR' FROM totals WHERE s > 0
+    UNION ALL SELECT 'money', 'savings_rate', NULL, r, '%' FROM rates WHERE y = 1998
+    UNION ALL SELECT 'money', 'savings_change', 'last year', round(a.r - b.r, 4), 'points' FROM rates a, rates b WHERE a.y = 1998 AND b.y = 1997""",
+)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronicle.functions import ordered
@@ -37,27 +37,44 @@ def json_records(pieces: DataFrame, member: str | None = None) -> DataFrame:
     strings = r'"[^"]*"?'
     outside = F.regexp_replace(plain, strings, "")
     inside = F.regexp_replace(F.regexp_replace(plain, r'^[^"]*"?', ""), strings, "")
-    # What a piece holds is counted once, for both cases; the passes below read only the counts.
-    rows = staged(
-        pieces.withColumns(
-            {
-                "_quotes": _occurrences(plain, '"'),
-                "_if_outside": _occurrences(outside, "{"),
-                "_if_inside": _occurrences(inside, "{"),
-            }
-        )
+    upto = (
+        Window.partitionBy("path", "block")
+        .orderBy("pos")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    rows = ordered.running_total(rows, ["path"], "block", ORDER, F.col("_quotes"), "_seen")
-    started_inside = (F.col("_seen") - F.col("_quotes")) % 2 == 1
-    ends_inside = F.col("_seen") % 2 == 1
-    opens = F.when(started_inside, F.col("_if_inside")).otherwise(F.col("_if_outside"))
-    closes = F.when(ends_inside, 0).otherwise(1)
-    rows = rows.withColumns({"_closes": closes, "_opens": opens})
-    rows = ordered.running_total(
-        rows, ["path"], "block", ORDER, F.col("_opens") - F.col("_closes"), "_depth"
+    # Whether a block begins inside a string is known only from the blocks before it, so the
+    # depth inside a block is worked out for both cases.
+    rows = pieces.withColumns(
+        {
+            "_quotes": _occurrences(plain, '"'),
+            "_outside": _occurrences(outside, "{"),
+            "_inside": _occurrences(inside, "{"),
+        }
+    )
+    rows = rows.withColumn("_seen", F.sum("_quotes").over(upto))
+    for start in (0, 1):
+        begins = (F.col("_seen") - F.col("_quotes") + start) % 2 == 1
+        opened = F.when(begins, F.col("_inside")).otherwise(F.col("_outside"))
+        closed = F.when((F.col("_seen") + start) % 2 == 1, 0).otherwise(1)
+        rows = rows.withColumn(f"_change{start}", opened - closed)
+    for start in (0, 1):
+        rows = rows.withColumn(f"_depth{start}", F.sum(f"_change{start}").over(upto))
+    rows = staged(rows.select("path", "block", "pos", "line", "_seen", "_depth0", "_depth1"))
+
+    by_block = Window.partitionBy("path").orderBy("block")
+    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("path", "block").agg(
+        *(F.max_by(name, "pos").alias(name) for name in ("_seen", "_depth0", "_depth1"))
     )
-    ends = (F.col("_closes") == 1) & (F.col("_depth") == depth)
-    rows = rows.withColumn("_ends", ends.cast("int"))
+    blocks = blocks.withColumn("_start", F.coalesce(F.sum("_seen").over(earlier), F.lit(0)) % 2)
+    change = F.when(F.col("_start") == 1, F.col("_depth1")).otherwise(F.col("_depth0"))
+    blocks = blocks.withColumn("_change", change)
+    blocks = blocks.withColumn("_base", F.coalesce(F.sum("_change").over(earlier), F.lit(0)))
+    rows = rows.join(blocks.select("path", "block", "_start", "_base"), ["path", "block"])
+    inner = F.when(F.col("_start") == 1, F.col("_depth1")).otherwise(F.col("_depth0"))
+    closes = (F.col("_seen") + F.col("_start")) % 2 == 0
+    ends = closes & (F.col("_base") + inner == depth)
+    rows = rows.select("path", "block", "pos", "line", ends.cast("int").alias("_ends"))
     rows = ordered.running_total(rows, ["path"], "block", ORDER, F.col("_ends"), "_record")
     rows = rows.withColumn("_record", F.col("_record") - F.col("_ends"))
     parts = F.array_sort(F.collect_list(F.struct("block", "pos", "line")))
