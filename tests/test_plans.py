@@ -35,7 +35,7 @@ def plan(df):
 
 def test_local_range_reaches_the_scan(stored):
     text = plan(messages.volume_by_contact(stored, RANGE))
-    pushed = re.search(r"PushedFilters: \[(.*?)\]", text).group(1)
+    pushed = re.search(r"PushedFilters: (.*?) ReadSchema|PushedFilters: (.*)", text).group(0)
     assert "GreaterThanOrEqual(ts,2024-01-09" in pushed and "LessThan(ts,2024-01-22" in pushed
 
 
@@ -94,7 +94,7 @@ def test_exact_median_equals_sorted_median(spark, width):
 def test_recurring_charges_order_days_not_rows(spark):
     df = spark.range(10).selectExpr(
         "cast(id as string) id", "'s' source", "timestamp_seconds(id * 2592000) ts", "cast(-5 as decimal(18,2)) amount",
-        "'EUR' currency", "'M' merchant", "'m' merchant_raw", "'c' category", "'card' kind")
+        "'EUR' currency", "concat('M', id % 2) merchant", "'m' merchant_raw", "'c' category", "'card' kind")
     text = plan(money.recurring_charges(df, Params(currency="EUR")))
     first = text.rindex("lag(day")
     assert "HashAggregate(keys=[merchant" in text[first:]
