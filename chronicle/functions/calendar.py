@@ -11,9 +11,12 @@ from chronicle.params import Params
 
 
 def local_time(ts: Column, tz: str) -> Column:
-    """The wall clock (TIMESTAMP_NTZ) that a UTC instant shows in `tz`."""
-    wall = ts.cast("timestamp_ntz")
-    return wall if tz == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(tz), wall)
+    """The wall clock (TIMESTAMP_NTZ) that a UTC instant shows in `tz`; the session zone is UTC.
+
+    `from_utc_timestamp` looks a literal zone up once, `convert_timezone` once per row.
+    """
+    shown = ts if tz == "UTC" else F.from_utc_timestamp(ts, tz)
+    return shown.cast("timestamp_ntz")
 
 
 def localise(wall: Column, tz: str) -> Column:
@@ -34,16 +37,19 @@ def with_local(df: DataFrame, params: Params) -> DataFrame:
 def in_range(df: DataFrame, params: Params) -> DataFrame:
     """Keep rows whose local day lies in the range.
 
-    The exact test works on a derived column, which no file format can use to skip data. A wider
-    bound on the stored `ts` (no zone is further than a day from UTC) reaches the scan.
+    The exact test works on a derived column, which no file format can use to skip data. No zone
+    is further than a day from UTC, so a wider bound on the stored `ts` reaches the scan, and only
+    rows near the bound are converted for the exact test.
     """
-    day = F.col("local_ts").cast("date")
+    day, one = F.col("local_ts").cast("date"), timedelta(days=1)
     if params.date_from:
-        df = df.filter(F.col("ts") >= _instant(params.date_from - timedelta(days=1)))
-        df = df.filter(day >= F.lit(params.date_from))
+        df = df.filter(F.col("ts") >= _instant(params.date_from - one))
+        inside = F.col("ts") >= _instant(params.date_from + one)
+        df = df.filter(inside | (day >= F.lit(params.date_from)))
     if params.date_to:
-        df = df.filter(F.col("ts") < _instant(params.date_to + timedelta(days=2)))
-        df = df.filter(day <= F.lit(params.date_to))
+        df = df.filter(F.col("ts") < _instant(params.date_to + 2 * one))
+        inside = F.col("ts") < _instant(params.date_to)
+        df = df.filter(inside | (day <= F.lit(params.date_to)))
     return df
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -97,31 +98,41 @@ LOCATION_CODES = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_LETTERS = r"[\p{L}\p{Nl}\p{No}]+"
+
+
+def _capitalised(text: Column) -> Column:
+    """Words of letters, with inner apostrophes, in title case; all else as it is."""
+    words = _LETTERS + r"(?:['\x{2019}]" + _LETTERS + ")*"
+    pieces = F.regexp_extract_all(text, F.lit(words + r"|[^\p{L}\p{Nl}\p{No}]+"), F.lit(0))
+    return F.array_join(
+        F.transform(
+            pieces,
+            lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 20))),
+        ),
+        "",
+    )
+
+
 def normalise_merchant(raw: Column) -> Column:
     """A card descriptor as a readable merchant name; descriptors without letters stay raw."""
     value = F.regexp_replace(raw, "(?U)" + MERCHANT_URL, " ")
     value = F.regexp_replace(value, "(?U)" + MERCHANT_NOISE, " ")
     value = F.regexp_replace(value, "(?U)" + MERCHANT_WORDS, " ")
     tokens = F.filter(F.split(value, r"(?U)\s+"), lambda token: token != "")
-    drop_last = (F.size(tokens) > 1) & F.element_at(tokens, -1).isin(LOCATION_CODES.split())
-    tokens = F.when(drop_last, F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(1)))).otherwise(
-        tokens
-    )
-    joined = F.array_join(tokens, " ")
-    # Split into words (letters with inner apostrophes) and everything between them.
-    pieces = F.regexp_extract_all(
-        joined,
-        F.lit(r"[\p{L}\p{Nl}\p{No}]+(?:['\x{2019}][\p{L}\p{Nl}\p{No}]+)*|[^\p{L}\p{Nl}\p{No}]+"),
-        F.lit(0),
-    )
-    title = F.array_join(
-        F.transform(
-            pieces,
-            lambda piece: F.concat(F.upper(F.substring(piece, 1, 1)), F.lower(piece.substr(2, 1 << 20))),
-        ),
-        "",
-    )
-    return F.when(joined.rlike(r"\p{L}"), title).otherwise(raw)
+
+    def without_place(found: Column) -> Column:
+        last = F.element_at(found, -1).isin(LOCATION_CODES.split())
+        keep = F.when((F.size(found) > 1) & last, F.size(found) - 1).otherwise(F.size(found))
+        return F.array_join(F.slice(found, F.lit(1), keep), " ")
+
+    joined = let(tokens, lambda t: F.when(F.size(t) > 0, without_place(t)).otherwise(""))
+    return let(joined, lambda j: F.when(j.rlike(r"\p{L}"), _capitalised(j)).otherwise(raw))
 
 
 # ---- secrets ----------------------------------------------------------------------------------
@@ -178,7 +189,7 @@ def _mask_database(text: Column, count: Column) -> Column:
     passes += [(None, pattern, "$1") for pattern in SECRET_PREFIXED]
     passes += [(None, pattern, "") for pattern in SECRET_SHAPES]
     for guard, pattern, kept in passes:
-        state = F.element_at(F.transform(F.array(state), _pass(guard, pattern, kept)), 1)
+        state = let(state, _pass(guard, pattern, kept))
     return state
 
 

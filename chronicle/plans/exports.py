@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from chronicle.plans.adapters import table
 
 
-def _lines(df: DataFrame, path: Column, number: Column, text: Column) -> DataFrame:
-    """The lines of one text per row, in the order of `number`."""
+def _lines(df: DataFrame, path: Column, number: Column, text: Column, size: int = 60_000) -> DataFrame:
+    """The lines of one text per row, in the order of `number`; blocks of `size` places."""
     rows = df.select(path.alias("path"), number.cast("bigint").alias("_n"), F.posexplode(F.split(text, "\n", -1)).alias("_i", "line"))
     place = F.col("_n") * 1000 + F.col("_i")
     # Cuts fall two lines into a record.
-    return rows.select("path", F.expr("(_n * 1000 + _i + 998) div 1500").alias("block"), place.alias("pos"), "line")
+    return rows.select("path", F.expr(f"(_n * 1000 + _i + 998) div {size}").alias("block"), place.alias("pos"), "line")
 
 
 def chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     text = F.concat(F.date_format(at, "dd/MM/yyyy, HH:mm"), F.lit(" - "), sender, F.lit(": "), "text")
     path = F.concat(F.lit("WhatsApp Chat with conv-"), F.col("conv_id").cast("string"), F.lit(".txt"))
-    return _lines(rows, path, F.col("turn") * 2 + F.col("copy"), text)
+    return _lines(rows, path, F.col("turn") * 2 + F.col("copy"), text, size=1500)
 
 
 def one_chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def _objects(df: DataFrame, path: Column, number: Column, record: Column, openin
     firsts = rows.groupBy("path").agg(F.min("_n").alias("_first"))
     pieces = F.split(F.concat(lead, F.col("_r")), r"\}", -1)
     rows = rows.join(firsts, "path").select("path", "_n", F.posexplode(F.slice(pieces, 1, F.size(pieces) - 1)).alias("_i", "line"))
-    return rows.select("path", F.expr("(_n * 16 + _i + 14) div 48").alias("block"), (F.col("_n") * 16 + F.col("_i")).alias("pos"), "line")
+    return rows.select("path", F.expr("(_n * 16 + _i + 14) div 4096").alias("block"), (F.col("_n") * 16 + F.col("_i")).alias("pos"), "line")
 
 
 def play_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,14 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronicle.functions import calendar, ordered
+from chronicle.functions import calendar
 from chronicle.functions.hashing import content_hash, iso_instant
 from chronicle.functions.text import normalise_merchant
 from chronicle.session import staged
-from chronicle.sources.lines import ORDER, number_lines, occurrences, stitch
+from chronicle.sources.lines import ORDER, join_pieces, number_lines, occurrences
 
 # strptime fields and their datetime pattern.
 _TIME_FIELDS = {"%Y": "yyyy", "%y": "yy", "%m": "M", "%d": "d", "%H": "H", "%M": "m", "%S": "s"}
@@ -145,10 +145,34 @@ def quotes(line: Column) -> Column:
 
 
 def csv_records(lines: DataFrame) -> DataFrame:
-    """Records of lines with their `quotes`: a line break inside quotes does not end a record."""
-    rows = ordered.running_total(lines, ["path"], "block", ORDER, F.col("quotes"), "_seen")
-    starts = (F.col("_seen") - F.col("quotes")) % 2 == 0
-    return stitch(rows, starts, F.col("line"), F.col("line"), "\n")
+    """Records of lines with their `quotes`: a line break inside quotes does not end a record.
+
+    A line starts a record when the quotes before it are even. Whether a block begins inside
+    quotes is known only from the blocks before it, so record starts are counted for both cases.
+    """
+    upto = (
+        Window.partitionBy("path", "block")
+        .orderBy("pos")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    rows = lines.withColumn("_seen", F.sum("quotes").over(upto))
+    before = F.col("_seen") - F.col("quotes")
+    for odd in (0, 1):
+        starts = ((before + odd) % 2 == 0).cast("int")
+        rows = rows.withColumn(f"_starts{odd}", F.sum(starts).over(upto))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    nothing = F.lit(0).cast("bigint")
+    starts = F.when(F.col("_odd") == 1, F.col("_starts1")).otherwise(F.col("_starts0"))
+    blocks = (
+        rows.groupBy("path", "block")
+        .agg(*(F.max_by(name, "pos").alias(name) for name in ("_seen", "_starts0", "_starts1")))
+        .withColumn("_odd", F.coalesce(F.sum("_seen").over(earlier), nothing) % 2)
+        .withColumn("_starts", starts)
+        .withColumn("_base", F.coalesce(F.sum("_starts").over(earlier), nothing))
+        .select("path", "block", "_odd", "_base")
+    )
+    rows = rows.join(blocks, ["path", "block"]).withColumn("_record", F.col("_base") + starts)
+    return join_pieces(rows.withColumn("_piece", F.col("line")), "\n")
 
 
 def _headers(fields: Column) -> Column:

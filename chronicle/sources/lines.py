@@ -176,13 +176,17 @@ def stitch(lines: DataFrame, starts: Column, first: Column, rest: Column, by: st
     rows = ordered.running_total(
         rows, ["path"], "block", ORDER, F.col("_starts").cast("int"), "_record"
     )
-    rows = rows.filter(F.col("_record") > 0).withColumn(
-        "_piece", F.when(F.col("_starts"), first).otherwise(rest)
-    )
+    rows = rows.withColumn("_piece", F.when(F.col("_starts"), first).otherwise(rest))
+    return join_pieces(rows, by)
+
+
+def join_pieces(rows: DataFrame, by: str) -> DataFrame:
+    """One row per (path, _record): where it begins, and its `_piece`s in order."""
     # A group is one record: the size of a single value in the result.
     pieces = F.array_sort(F.collect_list(F.struct("block", "pos", "_piece")))
     return (
-        rows.groupBy("path", "_record")
+        rows.filter(F.col("_record") > 0)
+        .groupBy("path", "_record")
         .agg(F.min(F.struct("block", "pos")).alias("_at"), pieces.alias("_pieces"))
         .select(
             "path",
