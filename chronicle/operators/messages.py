@@ -96,7 +96,8 @@ def volume_by_contact(
     messages: DataFrame, params: Params, contacts: DataFrame | None = None
 ) -> DataFrame:
     """Messages per bucket of the top-N contacts."""
-    counts = (
+    # Ranked and listed from the same counts: messages are read once.
+    counts = staged(
         selection(messages, params, contacts)
         .groupBy("contact_key", calendar.bucket(F.col("local_ts"), params.granularity).alias("bucket"))
         .agg(F.min("contact").alias("contact"), F.count("*").alias("messages"))
@@ -207,7 +208,8 @@ def response_times(
 ) -> DataFrame:
     """Exact median reply minutes per top-N contact and side."""
     side = F.when(F.col("is_from_me"), "you").otherwise("them")
-    counts = (
+    # The gaps are counted once; ranks and medians read the counts.
+    counts = staged(
         replies(messages, params, contacts)
         .groupBy("contact_key", side.alias("side"), "gap")
         .agg(F.min("contact").alias("contact"), F.count("*").alias("weight"))
@@ -230,7 +232,7 @@ def response_headline(
     messages: DataFrame, params: Params, contacts: DataFrame | None = None
 ) -> DataFrame:
     """My median reply over all contacts."""
-    counts = (
+    counts = staged(
         replies(messages, params, contacts)
         .filter("is_from_me")
         .groupBy("gap")
@@ -255,10 +257,12 @@ def conversation_starters(
         F.col("previous_ts").isNull()
         | (F.col("ts") - F.col("previous_ts") >= F.expr(SILENCE))
     )
-    counts = starts.groupBy("contact_key").agg(
-        F.min("contact").alias("contact"),
-        F.count("*").alias("conversations"),
-        F.count_if("is_from_me").alias("started_by_you"),
+    counts = staged(
+        starts.groupBy("contact_key").agg(
+            F.min("contact").alias("contact"),
+            F.count("*").alias("conversations"),
+            F.count_if("is_from_me").alias("started_by_you"),
+        )
     )
     overall = counts.agg(
         stats.share(F.sum("started_by_you"), F.sum("conversations")).alias("overall_share")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chronicle.functions import calendar, stats
 from chronicle.params import Params
+from chronicle.session import staged
 
 # The category and merchant patterns of food delivery.
 DELIVERY_CATEGORY = r"(?i)delivery|takeaway"
@@ -301,7 +302,7 @@ def recurring_charges(transactions: DataFrame, params: Params) -> DataFrame:
             )
         ).alias("g"),
     ).select("merchant", "g.gap", "g.weight")
-    counts = (
+    counts = staged(
         gaps.filter("gap IS NOT NULL AND weight > 0")
         .groupBy("merchant", "gap")
         .agg(F.sum("weight").alias("weight"))
@@ -369,15 +370,18 @@ def _runs_of_merchant(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def price_runs(transactions: DataFrame, params: Params) -> DataFrame:
+def price_runs(
+    transactions: DataFrame, params: Params, recurring: DataFrame | None = None
+) -> DataFrame:
     """Consecutive prices of every recurring merchant, and whether its history is steady.
 
     The fold depends on order, so a merchant's charges meet in one task. Only recurring merchants
     get here: half of their gaps are at least 25 days, so n charges span at least 12 n days and no
     merchant can hold more than a few thousand, whatever the size of the data.
     """
-    candidates = recurring_charges(transactions, params).select("merchant")
-    rows = charges(transactions, params).join(candidates, "merchant", "left_semi")
+    if recurring is None:
+        recurring = recurring_charges(transactions, params)
+    rows = charges(transactions, params).join(recurring.select("merchant"), "merchant", "left_semi")
     return rows.groupBy("merchant").applyInPandas(_runs_of_merchant, _RUNS)
 
 
@@ -386,9 +390,10 @@ def subscriptions(transactions: DataFrame, params: Params) -> DataFrame:
     reference = params.date_to or params.as_of
     if reference is None:
         raise ValueError("subscriptions need date_to or as_of to decide what is active")
+    recurring = staged(recurring_charges(transactions, params))
     price = F.struct("first_charge", "last_charge", "amount")
     folded = (
-        price_runs(transactions, params)
+        price_runs(transactions, params, recurring)
         .filter("established")
         .groupBy("merchant")
         .agg(
@@ -402,7 +407,7 @@ def subscriptions(transactions: DataFrame, params: Params) -> DataFrame:
     interval = F.col("interval_days")
     monthly = interval <= 35
     return (
-        folded.join(recurring_charges(transactions, params), "merchant")
+        folded.join(recurring, "merchant")
         .select(
             "merchant",
             F.when(monthly, "monthly").otherwise("yearly").alias("period"),
