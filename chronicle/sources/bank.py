@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chronicle.functions import calendar
 from chronicle.functions.hashing import content_hash, iso_instant
+from chronicle.functions.joins import join_facts
 from chronicle.functions.text import normalise_merchant
 from chronicle.session import staged
 from chronicle.sources.lines import ORDER, join_pieces, number_lines, occurrences
@@ -227,7 +228,7 @@ def transactions_from_csv(
 ) -> tuple[DataFrame, DataFrame]:
     """(transactions, refused records) from the lines of statements."""
     numbered = staged(number_lines(lines.withColumn("quotes", quotes(F.col("line")))))
-    files = choose_mapping(numbered, mappings)
+    files = staged(choose_mapping(numbered, mappings))
     parts = [_of_mapping(numbered, files.filter(F.col("mapping") == m.id), m, tz) for m in mappings]
     rows = reduce(DataFrame.unionByName, [part[0] for part in parts])
     refused = reduce(DataFrame.unionByName, [part[1] for part in parts])
@@ -256,7 +257,8 @@ def transactions_from_csv(
 def _of_mapping(
     numbered: DataFrame, files: DataFrame, mapping: BankMapping, tz: str
 ) -> tuple[DataFrame, DataFrame]:
-    lines = numbered.filter(F.col("line_no") > mapping.skip_rows).join(files, "path", "left_semi")
+    lines = numbered.filter(F.col("line_no") > mapping.skip_rows)
+    lines = join_facts(lines, files.select("path"), "path", "left_semi")
     records = csv_records(lines).filter(F.col("text") != "")
     records = records.withColumn("fields", split_csv(F.col("text"), mapping.delimiter))
     if mapping.footer:
@@ -266,10 +268,10 @@ def _of_mapping(
             .groupBy("path")
             .agg(F.min(F.struct(*ORDER)).alias("_end"))
         )
-        records = records.join(ends, "path", "left").filter(
+        records = join_facts(records, ends, "path", "left").filter(
             F.col("_end").isNull() | (F.struct(*ORDER) < F.col("_end"))
         )
-    records = records.join(files.select("path", "header"), "path")
+    records = join_facts(records, files.select("path", "header"), "path")
 
     def value(name: str | None) -> Column:
         if not name:

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 
 from chronicle.functions import calendar
 from chronicle.functions.hashing import content_hash, iso_instant
+from chronicle.functions.joins import join_facts
 from chronicle.session import staged
 from chronicle.sources.lines import ORDER, base_name, occurrences, stitch
 
@@ -298,14 +299,13 @@ def chat_messages(
     """(messages, refused records) from the lines of chat text files."""
     # Matching heads is the costly step: it runs once, and its result is read in several ways.
     heads = staged(_heads(lines))
-    files = chat_files(heads, self_identities)
+    files = staged(chat_files(heads, self_identities))
     # The head travels with the first line of its record.
     first = F.concat_ws(
         _CUT, F.array_join(F.slice("head", 1, 7), _CUT), F.coalesce("sender", F.lit(_NONE)), "first"
     )
     records = stitch(heads, F.col("is_head"), first, clean(F.col("line")), "\n")
     parts = F.split("text", _CUT, 9)
-    # Files with every record's order and chat: one row per file, joined by size at run time.
     records = records.select(
         "path",
         "block",
@@ -313,14 +313,18 @@ def chat_messages(
         parts.alias("head"),
         F.when(parts[7] != _NONE, parts[7]).alias("sender_name"),
         parts[8].alias("original"),
-    ).join(files, "path")
+    )
+    records = join_facts(records, files, "path")
     records = records.withColumn("wall", wall_time(F.col("head"), F.col("month_first")))
     good = F.col("wall").isNotNull() & (
         F.col("sender_name").isNull() | (F.col("sender_name") != "")
     )
     refused = records.filter(~good).select("path", "block", "pos", "original")
     rows = records.filter(good).withColumn("ts", calendar.localise(F.col("wall"), tz))
-    rows = _with_chat_id(rows)
+    if files.filter("chat_name IS NULL").isEmpty():
+        rows = rows.withColumn("chat_id", F.col("named_id"))
+    else:
+        rows = _with_chat_id(rows)
     rows = rows.withColumn("_iso", iso_local(F.col("ts"), tz))
     fields = (F.col("chat_id"), F.col("_iso"), F.col("sender_name"), F.col("original"))
     rows = occurrences(rows, "ts", *fields)
@@ -377,6 +381,6 @@ def _with_chat_id(rows: DataFrame) -> DataFrame:
             ).alias("_unnamed"),
         )
     )
-    return rows.join(unnamed, "path", "left").withColumn(
+    return join_facts(rows, unnamed, "path", "left").withColumn(
         "chat_id", F.when(F.col("chat_name").isNull(), F.col("_unnamed")).otherwise(F.col("named_id"))
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronicle.functions import ordered
+from chronicle.functions.joins import join_facts
 from chronicle.session import staged
 from chronicle.sources.lines import ORDER, read_lines
 
@@ -118,8 +119,11 @@ def _of_member(records: DataFrame, member: str) -> DataFrame:
     )
     named = ordered.running_total(named, ["path"], "block", ORDER, F.col("_opens"), "_array")
     wanted = named.filter((F.col("_opens") == 1) & (F.col("_name") == member)).select("path", "_array")
+    # Few arrays have the wanted name: one per file. Rows are spread by block, not by file.
+    named = named.withColumn("_key", F.concat_ws("\x1f", "path", "_array"))
+    wanted = wanted.select(F.concat_ws("\x1f", "path", "_array").alias("_key"))
     return (
-        named.join(wanted, ["path", "_array"], "left_semi")
+        join_facts(named, wanted, "_key", "left_semi")
         .withColumn("_text", F.when(F.col("_opens") == 1, F.regexp_replace("_text", opening, "{")).otherwise(F.col("_text")))
         .select("path", "block", "pos", F.regexp_replace("_text", r"^[^{]*", "").alias("record"))
     )

@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from chronicle.functions import ordered
 from chronicle.functions.hashing import content_hash
+from chronicle.functions.joins import join_facts
 from chronicle.functions.text import redact
 from chronicle.session import staged
 from chronicle.sources.lines import ORDER, occurrences, stitch
@@ -113,7 +114,7 @@ def _events(records: DataFrame, shell: Column, source: str) -> tuple[DataFrame,
 
 def shell_events(lines: DataFrame, source: str = "shell_history") -> tuple[DataFrame, DataFrame]:
     """(events, refused records) from lines of both formats."""
-    tagged = staged(lines.join(shell_formats(lines), "path"))
+    tagged = staged(join_facts(lines, shell_formats(lines), "path"))
     zsh = zsh_records(tagged.filter("shell = 'zsh'")).withColumn("shell", F.lit("zsh"))
     bash = bash_records(tagged.filter("shell = 'bash'")).withColumn("shell", F.lit("bash"))
     return _events(zsh.unionByName(bash), F.col("shell"), source)

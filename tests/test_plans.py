@@ -105,3 +105,21 @@ def test_plays_are_counted_before_the_join(spark):
     text = plan(plays.discovery_rate(df, Params()))
     join = text.index("Join")
     assert text[join:].count("HashAggregate") >= 4
+
+
+@pytest.mark.parametrize("small", [10_000, 1])
+def test_file_facts_do_not_gather_a_file(spark, monkeypatch, small):
+    """Broadcast while few, salted beyond: rows of one file stay spread either way."""
+    from chronicle.functions import joins
+
+    monkeypatch.setattr(joins, "SMALL", small)
+    rows = spark.range(1000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 7)).alias("path"),
+        F.expr("id div 10").alias("block"), "id")
+    facts = rows.select("path").distinct().withColumn("fact", F.concat(F.lit("f-"), "path"))
+    joined = joins.join_facts(rows, facts, "path")
+    assert joined.count() == 1000 and joined.filter("fact <> concat('f-', path)").isEmpty()
+    assert joins.join_facts(rows, facts.filter("path = 'hot'"), "path", "left").filter("fact IS NULL").count() == 666
+    assert joins.join_facts(rows, facts.filter("path = 'hot'").select("path"), "path", "left_semi").count() == 334
+    text = plan(joined)
+    assert ("BroadcastExchange" in text) if small > 1 else ("_salt" in text)
