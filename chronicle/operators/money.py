@@ -282,8 +282,8 @@ def charges(transactions: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def recurring_charges(transactions: DataFrame, params: Params) -> DataFrame:
-    """Merchants with at least three charges whose median day gap is monthly or yearly.
+def day_gaps(transactions: DataFrame, params: Params) -> DataFrame:
+    """(merchant, gap, weight): days between consecutive charges, and how often.
 
     Charges are counted per merchant and day before anything is ordered: n charges on one day are
     n - 1 gaps of 0 days. A merchant's rows are then at most its calendar days.
@@ -302,11 +302,16 @@ def recurring_charges(transactions: DataFrame, params: Params) -> DataFrame:
             )
         ).alias("g"),
     ).select("merchant", "g.gap", "g.weight")
-    counts = staged(
+    return (
         gaps.filter("gap IS NOT NULL AND weight > 0")
         .groupBy("merchant", "gap")
         .agg(F.sum("weight").alias("weight"))
     )
+
+
+def recurring_charges(transactions: DataFrame, params: Params) -> DataFrame:
+    """Merchants with at least three charges whose median day gap is monthly or yearly."""
+    counts = staged(day_gaps(transactions, params))
     interval = stats.exact_median(counts, ["merchant"], "gap", "weight", 64)
     return (
         interval.select(

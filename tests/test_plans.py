@@ -1,7 +1,7 @@
 """Physical plans: what reaches the scan, and that no task gets a whole key or table."""
 
 import re
-from datetime import date, datetime, timedelta
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ def plan(df):
 
 
 def test_local_range_reaches_the_scan(stored):
-    text = plan(messages.volume_by_contact(stored, RANGE))
+    text = plan(messages.selection(stored, RANGE))
     pushed = re.search(r"PushedFilters: (.*?) ReadSchema|PushedFilters: (.*)", text).group(0)
     assert "GreaterThanOrEqual(ts,2024-01-09" in pushed and "LessThan(ts,2024-01-22" in pushed
 
@@ -50,14 +50,14 @@ def test_top_n_is_pushed(stored):
 
 
 def test_no_window_over_a_whole_table(stored):
-    for df in (messages.conversation_starters(stored, RANGE), messages.response_times(stored, RANGE)):
+    for df in (messages.replies(stored, RANGE), messages.conversation_starters(stored, RANGE), messages.response_times(stored, RANGE)):
         assert "windowspecdefinition(unspecified" not in plan(df).lower()
         assert not re.search(r"Exchange SinglePartition[^\n]*\n[^\n]*Window", plan(df))
 
 
 def test_lag_sorts_segments_and_not_whole_chats(stored):
     """The window over messages is partitioned by chat and hour; only one row per hour is per chat."""
-    text = plan(messages.conversation_starters(stored, RANGE))
+    text = plan(messages.replies(stored, RANGE))
     assert re.search(r"Window \[.*?lag\(ts.*?\], \[source#\d+, chat_id#\d+, _hour#\d+\]", text)
 
 
@@ -95,7 +95,7 @@ def test_recurring_charges_order_days_not_rows(spark):
     df = spark.range(10).selectExpr(
         "cast(id as string) id", "'s' source", "timestamp_seconds(id * 2592000) ts", "cast(-5 as decimal(18,2)) amount",
         "'EUR' currency", "concat('M', id % 2) merchant", "'m' merchant_raw", "'c' category", "'card' kind")
-    text = plan(money.recurring_charges(df, Params(currency="EUR")))
+    text = plan(money.day_gaps(df, Params(currency="EUR")))
     first = text.rindex("lag(day")
     assert "HashAggregate(keys=[merchant" in text[first:]
 

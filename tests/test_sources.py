@@ -1,7 +1,6 @@
 """Parsers of raw exports on small literal files."""
 
 import json
-from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
