@@ -206,7 +206,7 @@ def _message_rows(tables: Tables, params: Params, names: bool) -> list[DataFrame
 def _play_rows(rows: DataFrame, params: Params) -> list[DataFrame]:
     monthly = plays.listening_minutes(rows, replace(params, granularity="month"))
     artists = plays.top_artists_by_year(rows, replace(params, top_n=1))
-    track = F.element_at("top_tracks", 1)
+    track = F.get("top_tracks", F.lit(0))
     peak = monthly.orderBy(F.desc("minutes"), "bucket").limit(1)
     total = monthly.agg(F.sum("minutes").alias("minutes")).filter("minutes IS NOT NULL")
     return [
