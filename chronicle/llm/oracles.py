@@ -53,4 +53,37 @@ ranked AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ranked WHERE n = 1
 """
 
-ORACLES = {"op4_decontaminate": _DECONTAMINATE, "op7_url_rules": _URL_RULES}
+_LINE_DEDUP = r"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+lines AS (
+  SELECT doc_id, i, trim(l[i + 1], ' ' || chr(9) || chr(13)) AS line
+  FROM (SELECT doc_id, l, unnest(generate_series(0, len(l) - 1)) AS i FROM docs WHERE text IS NOT NULL)
+),
+filled AS (
+  SELECT doc_id, i, line, lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3, lead(i, 2) OVER w AS last
+  FROM lines WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+),
+later AS (
+  SELECT doc_id, i AS first, last FROM (
+    SELECT *, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, i) AS n FROM filled WHERE line3 IS NOT NULL
+  ) WHERE n > 1
+),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(first, last)) AS i FROM later),
+marked AS (
+  SELECT x.doc_id, x.i, x.text, g.i IS NOT NULL AS gone FROM (
+    SELECT doc_id, i, l[i + 1] AS text FROM (SELECT doc_id, l, unnest(generate_series(0, len(l) - 1)) AS i FROM docs WHERE text IS NOT NULL)
+  ) x LEFT JOIN gone g USING (doc_id, i)
+),
+turned AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM marked
+),
+summed AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_runs,
+         sha256(coalesce(string_agg(text, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+  FROM turned GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, kept_sha256
+FROM docs LEFT JOIN summed USING (doc_id)
+"""
+
+ORACLES = {"op9_line_dedup": _LINE_DEDUP, "op4_decontaminate": _DECONTAMINATE, "op7_url_rules": _URL_RULES}

@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronicle.llm import decontaminate, packing, url_rules
+from chronicle.llm import decontaminate, language, near_copies, packing, repeated_lines, url_rules
 from chronicle.llm.frames import table
 from chronicle.llm.oracles import ORACLES
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.grouped(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -21,5 +29,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op7_url_rules, op8_best_fit_packing)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines.digest(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_language_id, op3_simhash, op4_decontaminate, op7_url_rules, op8_best_fit_packing, op9_line_dedup)
+QUERIES = {f.__name__: f for f in _ALL}
 __all__ = ["ORACLES", "QUERIES"]
