@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronicle.llm import decontaminate, language, near_copies, packing, repeated_lines, url_rules
+from chronicle.llm import decontaminate, language, near_copies, packing, repeated_lines, token_files, url_rules
 from chronicle.llm.frames import table
 from chronicle.llm.oracles import ORACLES
 
@@ -33,6 +33,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.digest(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_language_id, op3_simhash, op4_decontaminate, op7_url_rules, op8_best_fit_packing, op9_line_dedup)
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_language_id,
+    op3_simhash,
+    op4_decontaminate,
+    op7_url_rules,
+    op8_best_fit_packing,
+    op9_line_dedup,
+    op10_token_files,
+)
 QUERIES = {f.__name__: f for f in _ALL}
 __all__ = ["ORACLES", "QUERIES"]
