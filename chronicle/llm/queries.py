@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronicle.llm import decontaminate, language, near_copies, packing, repeated_lines, token_files, url_rules
+from chronicle.llm import decontaminate, language, near_copies, near_vectors, packing, repeated_lines, token_files, url_rules
 from chronicle.llm.frames import table
 from chronicle.llm.oracles import ORACLES
 
@@ -21,6 +21,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.grouped(table(spark, sf_dir, "embeddings"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
@@ -41,6 +45,7 @@ _ALL = (
     op1_language_id,
     op3_simhash,
     op4_decontaminate,
+    op6_near_vectors,
     op7_url_rules,
     op8_best_fit_packing,
     op9_line_dedup,
