@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronicle.llm import decontaminate, language, near_copies, near_vectors, packing, repeated_lines, token_files, url_rules
+from chronicle.llm import (
+    decontaminate,
+    language,
+    near_copies,
+    near_vectors,
+    packing,
+    repeated_bytes,
+    repeated_lines,
+    token_files,
+    url_rules,
+)
 from chronicle.llm.frames import table
 from chronicle.llm.oracles import ORACLES
 
@@ -13,6 +23,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.grouped(table(spark, sf_dir, "documents"))
 
@@ -43,6 +57,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_language_id,
+    op2_suffix_dedup,
     op3_simhash,
     op4_decontaminate,
     op6_near_vectors,
