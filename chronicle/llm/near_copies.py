@@ -12,8 +12,8 @@ trees, and the shard's other fingerprints search each of them. A shard emits a s
 passing least labels over written tables.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any others; rows with a null key
-are members without a name (the component of unnamed rows alone is null); repeated rows are copies; an empty table gives an
-empty table. Only key and text are read, so other columns cannot clash.
+are members without a name (the component of unnamed rows alone is null); rows with equal keys are one document, which stays or goes
+as a whole; an empty table gives an empty table. Only key and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

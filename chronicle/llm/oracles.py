@@ -86,4 +86,21 @@ SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_remo
 FROM docs LEFT JOIN summed USING (doc_id)
 """
 
-ORACLES = {"op9_line_dedup": _LINE_DEDUP, "op4_decontaminate": _DECONTAMINATE, "op7_url_rules": _URL_RULES}
+_NEAR_VECTORS = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v, list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) AS n FROM embeddings
+),
+good AS (SELECT * FROM vectors WHERE n > 0 AND isfinite(n) AND len(list_filter(v, lambda x: x IS NULL)) = 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a, good b
+  WHERE a.vec_id <> b.vec_id AND list_inner_product(a.v, b.v) / (sqrt(a.n) * sqrt(b.n)) >= 0.95
+),
+reached(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+counted AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a),
+least AS (SELECT a AS vec_id, min(b) AS low FROM reached GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id <= coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN counted USING (vec_id) LEFT JOIN least USING (vec_id)
+"""
+
+ORACLES = {"op6_near_vectors": _NEAR_VECTORS, "op9_line_dedup": _LINE_DEDUP, "op4_decontaminate": _DECONTAMINATE, "op7_url_rules": _URL_RULES}

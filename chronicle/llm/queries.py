@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chronicle.llm import (
+    chat_format,
     decontaminate,
     language,
     near_copies,
@@ -35,6 +36,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.grouped(table(spark, sf_dir, "embeddings"))
 
@@ -60,6 +65,7 @@ _ALL = (
     op2_suffix_dedup,
     op3_simhash,
     op4_decontaminate,
+    op5_chat_format,
     op6_near_vectors,
     op7_url_rules,
     op8_best_fit_packing,

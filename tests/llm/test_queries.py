@@ -1,0 +1,61 @@
+import re
+
+import pytest
+
+import corpus_pipeline
+from chronicle.llm import decontaminate, near_copies, packing, repeated_lines
+from chronicle.llm.frames import table
+from chronicle.llm.queries import ORACLES, QUERIES
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql_agrees(spark, name):
+    from check import compare, connect
+
+    for sf_dir in (SMALL, "/root/testdata/sf0.01"):
+        assert compare(QUERIES[name](spark, sf_dir), connect(sf_dir), ORACLES[name]) is None
+
+
+def test_ten_queries_are_registered():
+    import __spark_entry__
+
+    numbers = [int(m[1]) for n in __spark_entry__.queries() if (m := re.match(r"op(\d+)_", n))]
+    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+
+
+def test_pipeline_stages_take_effect(spark):
+    docs = table(spark, SMALL, "documents")
+    rows = [(9001, None), (9002, "12 ??"), (9003, docs.first()["text"])]
+    extra = spark.createDataFrame([(k, t, None, None, 1) for k, t in rows], docs.schema)
+    docs = docs.unionByName(extra)
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, SMALL)
+        seen[name] = (before, docs)
+        if name != "packing":
+            assert docs.columns == before.columns
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+    before, after = seen["language_id"]
+    spoken = {r["doc_id"] for r in before.collect() if r["text"] and any(c.isalpha() for c in r["text"])}
+    assert {r["doc_id"] for r in after.collect()} == spoken and 9003 in spoken
+    before, after = seen["line_dedup"]
+    left = {r["doc_id"]: r["text"] for r in repeated_lines.deduplicated(before).collect()}
+    assert {r["doc_id"]: r["text"] for r in after.collect()} == {k: t for k, t in left.items() if t.strip()}
+    before, after = seen["near_dedup"]
+    groups = near_copies.grouped(before).collect()
+    assert {r["doc_id"] for r in after.collect()} == {r["component_id"] for r in groups} and len(groups) > after.count()
+    before, after = seen["decontamination"]
+    hit = {r["doc_id"] for r in decontaminate.digest(before, table(spark, SMALL, "benchmark")).collect() if r["contaminated"]}
+    assert hit and {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()} - hit
+    before, after = seen["packing"]
+    assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()}
+    assert packing.pack(before).count() == after.count()
+
+
+def test_pipeline_runs_whole_and_on_nothing(spark, tmp_path):
+    assert corpus_pipeline.run(spark, SMALL).count() > 0
+    for name in ("documents", "benchmark"):
+        table(spark, SMALL, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
