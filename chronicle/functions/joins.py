@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from chronicle.session import staged
 
-SMALL = 10_000
 SALTS = 64
 
 
@@ -15,13 +14,11 @@ def join_facts(rows: DataFrame, facts: DataFrame, on: str, how: str = "inner") -
     """Join `facts` (one row per key) to rows that have a `block`.
 
     A plain join would bring all rows of a key to one task, and windows by (key, block) behind it
-    would keep them there. Facts are counted: up to 10,000 rows are broadcast, more are repeated
-    under 64 salts, and the blocks of a key are spread over the salts.
+    would keep them there. So facts are repeated under 64 salts, and the blocks of a key are spread
+    over the salts. Facts are written first: Spark knows their size in files and broadcasts them
+    by its own limit instead of shuffling the rows.
     """
-    facts = staged(facts)
-    if facts.count() <= SMALL:
-        return rows.join(F.broadcast(facts), on, how)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    repeated = facts.withColumn("_salt", salts)
+    repeated = staged(facts).withColumn("_salt", salts)
     spread = rows.withColumn("_salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
     return spread.join(repeated, [on, "_salt"], how).drop("_salt")

@@ -62,9 +62,8 @@ def pearson(x: str, y: str) -> Column:
 
 
 def largest(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """The first n rows; a broadcast hint only while the limit itself proves the size."""
-    top = df.orderBy(*order).limit(n)
-    return F.broadcast(top) if n <= 10_000 else top
+    """The first n rows. Spark knows the limit, and chooses the join by the size it proves."""
+    return df.orderBy(*order).limit(n)
 
 
 def share(part: Column, whole: Column) -> Column:

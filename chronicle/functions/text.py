@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # URL, word and emoji patterns, and the stopword list.
-URLS = r"(?i)(?:https?://|www\.)\S+"
+URLS = r"(?iU)(?:https?://|www\.)[^\s\x1c-\x1f]+"
 WORDS = r"[\p{L}\p{Nl}\p{No}]{3,}"
 STOPWORDS = (
     "the and you your that this with for from are was were have has had not but can "
@@ -93,9 +93,10 @@ MERCHANT_URL = r"(?i)https?://\S+|\b(?:[\w-]+\.)+[a-z]{2,}(?:/\S*)?"
 MERCHANT_NOISE = r"\*\S+|#\d+|\d{4,}"
 MERCHANT_WORDS = r"(?i)\b(?:payment|purchase|card|pos)\b"
 LOCATION_CODES = (
-    "RO ROU GB GBR US USA DE DEU FR FRA IT ITA ES ESP NL NLD IE IRL CH CHE AT AUT "
-    "CA CAN AU AUS SG SGP BUC LDN NYC SIN"
-)
+    "RO", "ROU", "GB", "GBR", "US", "USA", "DE", "DEU", "FR", "FRA", "IT", "ITA", "ES", "ESP",
+    "NL", "NLD", "IE", "IRL", "CH", "CHE", "AT", "AUT", "CA", "CAN", "AU", "AUS", "SG", "SGP",
+    "BUC", "LDN", "NYC", "SIN",
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -113,7 +114,7 @@ def _capitalised(text: Column) -> Column:
     return F.array_join(
         F.transform(
             pieces,
-            lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 20))),
+            lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, F.lit(2), F.length(p)))),
         ),
         "",
     )
@@ -127,7 +128,7 @@ def normalise_merchant(raw: Column) -> Column:
     tokens = F.filter(F.split(value, r"(?U)\s+"), lambda token: token != "")
 
     def without_place(found: Column) -> Column:
-        last = F.element_at(found, -1).isin(LOCATION_CODES.split())
+        last = F.element_at(found, -1).isin(*LOCATION_CODES)
         keep = F.when((F.size(found) > 1) & last, F.size(found) - 1).otherwise(F.size(found))
         return F.array_join(F.slice(found, F.lit(1), keep), " ")
 
@@ -141,21 +142,21 @@ def normalise_merchant(raw: Column) -> Column:
 REDACTED = "«redacted»"
 SECRET_VALUE = r"""(?:\$\([^)]*\)|"(?:\\.|[^"\\])*"|'[^']*'|[^\s;"']+)"""
 SECRET_ASSIGNMENT = (
-    r"(?i)(\b\w*(?:token|secret|password|passwd|api_?key|auth)\w*=)" + SECRET_VALUE
+    r"(?iU)(\b\w*(?:token|secret|password|passwd|api_?key|auth)\w*=)" + SECRET_VALUE
 )
-SECRET_EXPORT = r"""\b(?:export|env)\s+(?:"(?:\\.|[^"\\])*"|'[^']*'|[^;"'\n])+"""
-SECRET_DATABASE = r"^\s*(?:\S*/)?(?:mysql|mysqldump|mysqladmin|mariadb)(?=\s|$)"
-SECRET_ATTACHED = r"((?<!\S)-p)" + SECRET_VALUE
+SECRET_EXPORT = r"""(?U)\b(?:export|env)\s+(?:"(?:\\.|[^"\\])*"|'[^']*'|[^;"'\n])+"""
+SECRET_DATABASE = r"(?U)^\s*(?:\S*/)?(?:mysql|mysqldump|mysqladmin|mariadb)(?=\s|$)"
+SECRET_ATTACHED = r"(?U)((?<!\S)-p)" + SECRET_VALUE
 SECRET_PREFIXED = [
-    r"(?i)(--(?:password|token|secret|api-key)(?:=|\s+))" + SECRET_VALUE,
-    r"""(?i)(Authorization:\s*Bearer\s+)[^\s"']+""",
-    r"(?i)(\b[a-z][a-z0-9+.-]*://)[^\s/@:]+:[^\s/]+(?=@)",
+    r"(?iU)(--(?:password|token|secret|api-key)(?:=|\s+))" + SECRET_VALUE,
+    r"""(?iU)(Authorization:\s*Bearer\s+)[^\s"']+""",
+    r"(?iU)(\b[a-z][a-z0-9+.-]*://)[^\s/@:]+:[^\s/]+(?=@)",
 ]
 SECRET_SHAPES = [
-    r"\b(?:ghp_|gho_|github_pat_)[A-Za-z0-9_]+\b",
-    r"\bsk-[A-Za-z0-9_-]{20,}\b",
-    r"\bxox[abpr]-[A-Za-z0-9-]+\b",
-    r"\bAKIA[0-9A-Z]{16}\b",
+    r"(?U)\b(?:ghp_|gho_|github_pat_)[A-Za-z0-9_]+\b",
+    r"(?U)\bsk-[A-Za-z0-9_-]{20,}\b",
+    r"(?U)\bxox[abpr]-[A-Za-z0-9-]+\b",
+    r"(?U)\bAKIA[0-9A-Z]{16}\b",
 ]
 
 

@@ -110,7 +110,10 @@ def _ratio():
 
 
 def name_pairs(forms: DataFrame, rare: DataFrame) -> DataFrame:
-    """(name_a, name_b, score): different names that share a rare token and are alike.
+    """(name_a, name_b, score, score_ba): different names that share a rare token and are alike.
+
+    The ratio of two names depends on which comes first: `score` is that of name_a before name_b and
+    `score_ba` the other. Which counts is decided by the identities that hold the names.
 
     A pair meets at every rare token both names have and is kept at the first of them. The tests
     run inside the join, so pairs that are not alike are never rows. Two names whose ratio reaches
@@ -147,16 +150,18 @@ def name_pairs(forms: DataFrame, rare: DataFrame) -> DataFrame:
         "normal_b", F.coalesce("name_phone_b", F.lit(""))
     )
     pairs = side("a").join(side("b"), "token").filter(before & first_shared & alike)
-    ratio = F.when(both_plain & ~subset, _ratio()("text_a", "text_b"))
-    scored = pairs.select(
+
+    def scored(first: str, second: str) -> Column:
+        ratio = F.when(both_plain & ~subset, _ratio()(first, second))
+        fuzzy = F.when(ratio >= FUZZY, F.least(ratio, F.lit(FUZZY_CAP)))
+        return F.when(same_phone, 1.0).when(subset, SUBSET).otherwise(fuzzy)
+
+    return pairs.select(
         F.col("normal_a").alias("name_a"),
         F.col("normal_b").alias("name_b"),
-        F.when(same_phone, 1.0)
-        .when(subset, SUBSET)
-        .when(ratio >= FUZZY, F.least(ratio, F.lit(FUZZY_CAP)))
-        .alias("score"),
-    )
-    return scored.filter("score IS NOT NULL")
+        scored("text_a", "text_b").alias("score"),
+        scored("text_b", "text_a").alias("score_ba"),
+    ).filter("score IS NOT NULL OR score_ba IS NOT NULL")
 
 
 # ---- clusters ---------------------------------------------------------------------------------
@@ -374,15 +379,20 @@ def _merge_part(facts: pd.DataFrame) -> pd.DataFrame:
 
 
 def proposals(identities: DataFrame, clusters: DataFrame, decisions: DataFrame) -> DataFrame:
-    """(name_a, name_b, score, clusters_a, clusters_b): similar names held by different clusters.
+    """(name_a, name_b, score, score_ab, score_ba, pairs, clusters_a, clusters_b): similar names held by different clusters.
 
-    One row stands for every pair of identities under the two names; equal names in different
-    clusters (score 1 or .95) are rows too. `proposals_for` lists the pairs of one identity.
+    One row stands for the `pairs` of identities under the two names that are in different clusters and
+    not rejected; equal names in different clusters (score 1 or .95) are rows too. Where the order of the
+    names matters, the score is the best of the orders in which identities hold them. `proposals_for`
+    lists the pairs of one identity.
     """
     forms = staged(identity_forms(identities))
-    held = forms.join(clusters, "identity").groupBy("normal").agg(
-        F.count_distinct("cluster").alias("clusters"), F.min("cluster").alias("low"), F.max("cluster").alias("high")
+    named = staged(forms.select("identity", "normal").distinct().join(clusters, "identity"))
+    held = named.groupBy("normal").agg(
+        F.count_distinct("cluster").alias("clusters"), F.count("*").alias("n"),
+        F.min("identity").alias("first"), F.max("identity").alias("last"),
     )
+    by_cluster = named.groupBy("normal", "cluster").agg(F.count("*").alias("n"))
     similar = name_pairs(forms, rare_tokens(forms, identity_total(identities)))
     turned = (
         forms.select("normal", F.array_join("tokens", " ").alias("text"), "name_phone").distinct()
@@ -390,21 +400,50 @@ def proposals(identities: DataFrame, clusters: DataFrame, decisions: DataFrame)
     same = turned.alias("x").join(turned.alias("y"), ["text"]).filter(
         (F.col("x.normal") < F.col("y.normal")) & F.col("x.name_phone").eqNullSafe(F.col("y.name_phone"))
     )
-    same = same.select(F.col("x.normal").alias("name_a"), F.col("y.normal").alias("name_b"), F.lit(AUTO).alias("score"))
+    same = same.select(
+        F.col("x.normal").alias("name_a"), F.col("y.normal").alias("name_b"),
+        F.lit(AUTO).alias("score"), F.lit(AUTO).alias("score_ba"),
+    )
     own = held.filter("clusters > 1").select(
-        F.col("normal").alias("name_a"), F.col("normal").alias("name_b"), F.lit(1.0).alias("score")
+        F.col("normal").alias("name_a"), F.col("normal").alias("name_b"),
+        F.lit(1.0).alias("score"), F.lit(1.0).alias("score_ba"),
     )
     pairs = reduce(DataFrame.unionByName, [similar, same, own])
-    a = held.select(F.col("normal").alias("name_a"), F.col("clusters").alias("clusters_a"), F.col("low").alias("_la"), F.col("high").alias("_ha"))
-    b = held.select(F.col("normal").alias("name_b"), F.col("clusters").alias("clusters_b"), F.col("low").alias("_lb"), F.col("high").alias("_hb"))
-    apart = ~((F.col("_la") == F.col("_ha")) & (F.col("_lb") == F.col("_hb")) & (F.col("_la") == F.col("_lb")))
+    names = ["name_a", "name_b"]
+    pairs = staged(pairs.groupBy(*names).agg(F.max("score").alias("score_ab"), F.max("score_ba").alias("score_ba")))
+    sides = [
+        held.select(*(F.col(c).alias(c + suffix) for c in held.columns)).withColumnRenamed("normal" + suffix, "name" + suffix)
+        for suffix in ("_a", "_b")
+    ]
+    counts = [
+        by_cluster.select(F.col("normal").alias("name" + suffix), "cluster", F.col("n").alias("n" + suffix))
+        for suffix in ("_a", "_b")
+    ]
+    # Pairs inside a cluster are settled; for one name each pair is met from both sides, and each member with itself.
+    inside = (
+        pairs.select(*names).join(counts[0], "name_a").join(counts[1], ["name_b", "cluster"])
+        .groupBy(*names).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("inside"))
+    )
+    refused = decisions.filter("decision = 'reject'").select("a", "b").distinct()
+    turned = refused.unionByName(refused.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = [
+        named.select(F.col("identity").alias(end), F.col("normal").alias("name_" + end), F.col("cluster").alias("cluster_" + end))
+        for end in ("a", "b")
+    ]
+    rejected = (
+        turned.join(ends[0], "a").join(ends[1], "b").filter("cluster_a <> cluster_b AND name_a <= name_b")
+        .groupBy(*names).agg(F.count("*").alias("rejected"))
+    )
+    met = F.col("n_a") * F.col("n_b") - F.coalesce("inside", F.lit(0)) - F.coalesce("rejected", F.lit(0))
+    forward = F.when(F.col("first_a") <= F.col("last_b"), F.col("score_ab"))
+    backward = F.when(F.col("first_b") <= F.col("last_a"), F.col("score_ba"))
     return (
-        pairs.groupBy("name_a", "name_b")
-        .agg(F.max("score").alias("score"))
-        .join(a, "name_a")
-        .join(b, "name_b")
-        .filter(apart)
-        .select("name_a", "name_b", "score", "clusters_a", "clusters_b")
+        pairs.join(sides[0], "name_a").join(sides[1], "name_b")
+        .join(inside, names, "left").join(rejected, names, "left")
+        .withColumn("pairs", F.when(F.col("name_a") == F.col("name_b"), met / 2).otherwise(met).cast("long"))
+        .withColumn("score", F.greatest(forward, backward))
+        .filter("pairs > 0 AND score IS NOT NULL")
+        .select(*names, "score", "score_ab", "score_ba", "pairs", "clusters_a", "clusters_b")
     )
 
 
@@ -414,10 +453,19 @@ def proposals_for(
     """(a, b, score): the proposals of one identity, from the rows of `proposals`."""
     forms = identity_forms(identities)
     mine = forms.filter(F.col("identity") == identity).select(F.col("normal").alias("mine"))
-    both = named.select(F.col("name_a").alias("mine"), F.col("name_b").alias("normal"), "score").unionByName(
-        named.filter("name_a <> name_b").select(F.col("name_b").alias("mine"), F.col("name_a").alias("normal"), "score")
+    both = named.select(
+        F.col("name_a").alias("mine"), F.col("name_b").alias("normal"), F.col("score_ab").alias("_first"), F.col("score_ba").alias("_second")
+    ).unionByName(
+        named.filter("name_a <> name_b").select(
+            F.col("name_b").alias("mine"), F.col("name_a").alias("normal"), F.col("score_ba").alias("_first"), F.col("score_ab").alias("_second")
+        )
+    )
+    # The smaller identity's name comes first.
+    score = F.when(F.col("identity") > identity, F.col("_first")).otherwise(F.col("_second"))
+    others = (
+        both.join(mine, "mine").join(forms, "normal").withColumn("score", score).filter("score IS NOT NULL")
+        .groupBy("identity").agg(F.max("score").alias("score"))
     )
-    others = both.join(F.broadcast(mine), "mine").join(forms, "normal").groupBy("identity").agg(F.max("score").alias("score"))
     own = clusters.filter(F.col("identity") == identity).select(F.col("cluster").alias("own"))
     found = (
         others.filter(F.col("identity") != identity)

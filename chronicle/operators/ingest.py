@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from uuid import uuid4
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronicle import schema
@@ -41,16 +41,13 @@ def first_rows(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
 
 
 def unseen(rows: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Rows whose id is not stored yet.
+    """Rows whose id is not stored yet, in any month: an id names one row, whatever its timestamp.
 
-    Ids are derived from the timestamp among other fields, so a stored copy lies in the same month
-    and only the folders of the batch's months are read. These are twelve names per year of data.
+    Only the id column of the stored rows is read.
     """
     if stored is None:
         return rows
-    months = sorted(row["month"] for row in rows.select("month").distinct().collect())
-    known = stored.filter(F.col("month").isin(months)).select("month", "id")
-    return rows.join(known, ["month", "id"], "left_anti")
+    return rows.join(stored.select("id"), "id", "left_anti")
 
 
 def keyed(rows: DataFrame) -> DataFrame:
@@ -64,12 +61,13 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """A stored table, or None before the first import."""
+    """A stored table, or None before the first import; a table that cannot be read is an error."""
     try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    return stored
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def append_new(
@@ -91,10 +89,10 @@ def append_new(
     names = [field.name for field in schema.fact_schema(table)]
     new = new.select(*(F.col(c) if c in new.columns else F.lit(None).cast("string").alias(c) for c in names), "month")
     # Rebalancing splits a month that holds most rows into several files.
-    new.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
-    stored = read_table(spark, path)
-    inserted = stored.filter(F.col("import_id") == import_id).count() if stored is not None else 0
-    return Stored(counts["seen"] - counts["refused"], inserted, counts["refused"])
+    written = Observation()
+    spread = new.hint("rebalance", "month").observe(written, F.count("*").alias("inserted"))
+    spread.write.mode("append").partitionBy("month").parquet(path)
+    return Stored(counts["seen"] - counts["refused"], written.get["inserted"], counts["refused"])
 
 
 # ---- ledger -----------------------------------------------------------------------------------

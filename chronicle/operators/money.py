@@ -134,7 +134,7 @@ def top_categories_with_other(
         F.asc("category"),
     ).select("category", F.lit(True).alias("kept"))
     spaced = F.regexp_replace("category", "_", " ")
-    readable = F.concat(F.upper(F.substring(spaced, 1, 1)), F.lower(spaced.substr(2, 1 << 20)))
+    readable = F.concat(F.upper(F.substring(spaced, 1, 1)), F.lower(spaced.substr(F.lit(2), F.length(spaced))))
     return (
         monthly.join(kept, "category", "left")
         .withColumn("label", F.when(F.col("kept"), readable).otherwise("Other"))

@@ -9,15 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronicle.functions import ordered
 from chronicle.plans.adapters import table
 
 
-def _lines(df: DataFrame, path: Column, number: Column, text: Column, size: int = 60_000) -> DataFrame:
-    """The lines of one text per row, in the order of `number`; blocks of `size` places."""
-    rows = df.select(path.alias("path"), number.cast("bigint").alias("_n"), F.posexplode(F.split(text, "\n", -1)).alias("_i", "line"))
-    place = F.col("_n") * 1000 + F.col("_i")
-    # Cuts fall two lines into a record.
-    return rows.select("path", F.expr(f"(_n * 1000 + _i + 998) div {size}").alias("block"), place.alias("pos"), "line")
+def _placed(rows: DataFrame, pieces: Column, size: int) -> DataFrame:
+    """(path, block, pos, line): the pieces of all records of a path, counted through in the order of `_n`."""
+    rows = rows.withColumn("_pieces", pieces).withColumn("_part", F.expr("_n div 64"))
+    counted = ordered.running_total(rows, ["path"], "_part", ["_n"], F.size("_pieces"), "_end")
+    start = F.col("_end") - F.size("_pieces")
+    pieces_at = counted.select("path", start.alias("_start"), F.posexplode("_pieces").alias("_i", "line"))
+    place = F.col("_start") + F.col("_i")
+    return pieces_at.select("path", F.floor(place / size).alias("block"), place.alias("pos"), "line")
+
+
+def _lines(df: DataFrame, path: Column, number: Column, text: Column, size: int = 59) -> DataFrame:
+    """The lines of one text per row, in the order of `number`; blocks of `size` lines."""
+    rows = df.select(path.alias("path"), number.cast("bigint").alias("_n"), text.alias("_text"))
+    return _placed(rows, F.split("_text", "\n", -1), size)
 
 
 def chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +40,7 @@ def chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     text = F.concat(F.date_format(at, "dd/MM/yyyy, HH:mm"), F.lit(" - "), sender, F.lit(": "), "text")
     path = F.concat(F.lit("WhatsApp Chat with conv-"), F.col("conv_id").cast("string"), F.lit(".txt"))
-    return _lines(rows, path, F.col("turn") * 2 + F.col("copy"), text, size=1500)
+    return _lines(rows, path, F.col("turn") * 2 + F.col("copy"), text, size=5)
 
 
 def one_chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +57,7 @@ def _objects(df: DataFrame, path: Column, number: Column, record: Column, openin
     rows = df.select(path.alias("path"), number.cast("bigint").alias("_n"), record.alias("_r"))
     firsts = rows.groupBy("path").agg(F.min("_n").alias("_first"))
     pieces = F.split(F.concat(lead, F.col("_r")), r"\}", -1)
-    rows = rows.join(firsts, "path").select("path", "_n", F.posexplode(F.slice(pieces, 1, F.size(pieces) - 1)).alias("_i", "line"))
-    return rows.select("path", F.expr("(_n * 16 + _i + 14) div 4096").alias("block"), (F.col("_n") * 16 + F.col("_i")).alias("pos"), "line")
+    return _placed(rows.join(firsts, "path"), F.slice(pieces, 1, F.size(pieces) - 1), 257)
 
 
 def play_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,7 +107,7 @@ register(
 )
 register(
     "name_pairs",
-    lambda s, d: _name_pairs(s, d).filter("score = 0.7"),
+    lambda s, d: _name_pairs(s, d).drop("score_ba"),
     """SELECT lower(a.n) AS name_a, lower(b.n || ' ' || b.c_mktsegment) AS name_b, 0.7::DOUBLE AS score
     FROM (SELECT *, 'n' || (c_custkey // 2) AS n FROM customer WHERE c_custkey % 2 = 0) a
     JOIN (SELECT *, 'n' || (c_custkey // 2) AS n FROM customer WHERE c_custkey % 2 = 1) b ON a.n = b.n""",

@@ -24,7 +24,7 @@ ANDROID = r"(?isU)^" + DATE + r",\s*" + TIME + r"\s+-\s+(.*)$"
 IOS = r"(?isU)^\[" + DATE + r",\s*" + TIME + r"\]\s*(.*)$"
 PHONE = r"^\+?[\d ()\-.]+$"
 GROUP_NOTICE = (
-    r"(?i)created (?:this |the )?group|added .+|left\.?$|"
+    r"(?iu)created (?:this |the )?group|added .+|left\.?$|"
     r"changed the (?:subject|icon|description|group)|"
     r"a creat grupul|a adăugat|a părăsit|a schimbat (?:subiectul|numele)|"
     r"gruppe .*(?:erstellt|gegründet)|hinzugefügt|hat .*verlassen|gruppenbetreff|"
@@ -70,9 +70,9 @@ MEDIA = (
     r"(?=$|\s)(.*)$"
 )
 EXTENSIONS = {
-    "image": ".jpg .jpeg .png .heic",
-    "video": ".mp4 .mov .3gp",
-    "audio": ".opus .ogg .mp3 .m4a .wav",
+    "image": (".jpg", ".jpeg", ".png", ".heic"),
+    "video": (".mp4", ".mov", ".3gp"),
+    "audio": (".opus", ".ogg", ".mp3", ".m4a", ".wav"),
 }
 ANDROID_NAME = "WhatsApp Chat with "
 ARCHIVE_NAME = "WhatsApp Chat - "
@@ -148,10 +148,10 @@ def _chat_name(path: Column) -> Column:
     )
     in_archive = F.lower(path).rlike(r"\.zip/[^/]+$")
     named = F.when(
-        file.startswith(ANDROID_NAME), file.substr(len(ANDROID_NAME) + 1, 1 << 20)
+        file.startswith(ANDROID_NAME), file.substr(F.lit(len(ANDROID_NAME) + 1), F.length(file))
     ).when(
         in_archive & folder.startswith(ARCHIVE_NAME),
-        folder.substr(len(ARCHIVE_NAME) + 1, 1 << 20),
+        folder.substr(F.lit(len(ARCHIVE_NAME) + 1), F.length(folder)),
     )
     return _strip(clean(named))
 
@@ -284,7 +284,7 @@ def media(text: Column) -> Column:
         name.contains("sticker") | (extension == ".webp"), "sticker"
     ).when(extension == ".gif", "gif")
     for label, known in EXTENSIONS.items():
-        kind = kind.when(extension.isin(known.split()), label)
+        kind = kind.when(extension.isin(*known), label)
     kind = kind.when(extension != "", "document").otherwise("other")
     caption = _strip(F.regexp_extract(text, MEDIA, 4))
     return F.when(

@@ -4,26 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronicle.sources import activity, bank, chat, plays, shell
-from chronicle.sources.lines import ORDER, base_name, read_lines, relative_path
+from chronicle.sources import bank, chat, plays, shell
+from chronicle.sources.lines import ORDER, base_name, hidden_splits, open_archive, open_file, relative_path
 
 SAMPLE = 65_536
-# How a file with this ending is cut, so that no piece is a whole large file.
-SEPARATORS = {"json": "}", "html": activity.CELL}
-
-
-def read_samples(spark: SparkSession, paths) -> DataFrame:
-    """(path, separator, block, pos, line) of every file below `paths`."""
-    parts = [
-        read_lines(spark, paths, separator=cut, glob=f"*.{ending}").withColumn("separator", F.lit(cut))
-        for ending, cut in SEPARATORS.items()
-    ]
-    others = read_lines(spark, paths, exclude=r"\.(?:json|html|zip)$", hidden=True)
-    parts.append(others.withColumn("separator", F.lit("\n")))
-    return reduce(DataFrame.unionByName, parts)
 
 
 def heads(samples: DataFrame) -> DataFrame:
@@ -92,7 +80,11 @@ def scores(path: Column, text: Column, mappings=bank.MAPPINGS) -> dict[str, Colu
 
 def classify(samples: DataFrame) -> DataFrame:
     """(path, format, confidence, rank) of all formats, best first, ties by name."""
-    found = scores(F.col("path"), F.col("text"))
+    return ranked(heads(samples), scores(F.col("path"), F.col("text")))
+
+
+def ranked(files: DataFrame, found: dict[str, Column]) -> DataFrame:
+    """(path, format, confidence, rank) of (path, text), from a score for each format."""
     entries = F.array(
         *(
             F.struct(F.lit(name).alias("format"), F.coalesce(score, F.lit(0.0)).alias("confidence"))
@@ -101,15 +93,44 @@ def classify(samples: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("path").orderBy(F.desc("confidence"), "format")
     return (
-        heads(samples)
-        .select("path", F.explode(entries).alias("e"))
+        files.select("path", F.explode(entries).alias("e"))
         .select("path", "e.format", "e.confidence")
         .withColumn("rank", F.row_number().over(order).cast("bigint"))
     )
 
 
-def classify_exports(spark: SparkSession, paths) -> DataFrame:
-    return classify(read_samples(spark, paths))
+def classify_exports(spark: SparkSession, paths: str) -> DataFrame:
+    return ranked(read_heads(spark, paths), scores(F.col("path"), F.col("text")))
+
+
+def read_heads(spark: SparkSession, root: str) -> DataFrame:
+    """(path, text): the first 64 KiB of each file below `root` and of each member of a ZIP archive.
+
+    Files are listed by Spark, hidden ones by name; tasks then open each and read no further.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    hidden = sorted({path for path, _, _ in hidden_splits(spark, [root], None, None)})
+    if hidden:
+        listed = listed.unionByName(spark.createDataFrame([(p,) for p in hidden], "path string"))
+
+    def read(batches):
+        for batch in batches:
+            for path in batch["path"]:
+                if path.lower().endswith(".zip"):
+                    with open_archive(path) as archive:
+                        for name in sorted(n for n in archive.namelist() if not n.endswith("/")):
+                            with archive.open(name) as stream:
+                                yield _head(f"{path}/{name}", stream)
+                else:
+                    with open_file(path) as stream:
+                        yield _head(path, stream)
+
+    found = listed.mapInPandas(read, "path string, text string")
+    return found.withColumn("path", relative_path(F.col("path"), root))
+
+
+def _head(path: str, stream) -> pd.DataFrame:
+    return pd.DataFrame({"path": [path], "text": [stream.read(SAMPLE).decode("utf-8", "ignore")]})
 
 
 def export_fingerprint(spark: SparkSession, root: str) -> DataFrame:

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from contextlib import contextmanager
 from fnmatch import fnmatch
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,7 +32,7 @@ def relative_path(path: Column, root: str | None) -> Column:
         return plain
     base = "/" + root.removeprefix("file:").strip("/") if root.startswith(("/", "file:")) else root.rstrip("/")
     inside = plain.startswith(base + "/")
-    return F.when(inside, plain.substr(len(base) + 2, 1 << 30)).otherwise(
+    return F.when(inside, plain.substr(F.lit(len(base) + 2), F.length(plain))).otherwise(
         F.when(plain == base, F.substring_index(plain, "/", -1)).otherwise(plain)
     )
 
@@ -71,14 +73,14 @@ def read_lines(
     if encoding.upper() not in ("UTF-8", "UTF-8-SIG"):
         return rows.withColumn("line", _decoder(encoding)(line.cast("binary")))
     # Looking at bytes keeps lines that are not valid UTF-8 as they are.
-    return rows.withColumn("line", F.when(line.startswith(BOM), line.substr(2, 1 << 30)).otherwise(line))
+    return rows.withColumn("line", F.when(line.startswith(BOM), line.substr(F.lit(2), F.length(line))).otherwise(line))
 
 
 _SPLIT = 64 << 20
 _LINE = "path string, block bigint, pos bigint, line string"
 
 
-def _hidden_splits(spark: SparkSession, roots: list[str], glob: str | None, exclude: str | None):
+def hidden_splits(spark: SparkSession, roots: list[str], glob: str | None, exclude: str | None):
     """(path, start, end) of 64 MiB ranges of hidden files; names only, as Spark lists them."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for root in roots:
@@ -98,7 +100,7 @@ def _hidden_splits(spark: SparkSession, roots: list[str], glob: str | None, excl
 
 def _read_hidden(spark, roots, glob, exclude, separator) -> DataFrame:
     """Lines of byte ranges; a line belongs to the range it starts in."""
-    splits = list(_hidden_splits(spark, roots, glob, exclude))
+    splits = list(hidden_splits(spark, roots, glob, exclude))
     frame = spark.createDataFrame(splits or [("", 0, 0)], "path string, start bigint, end bigint")
     frame = frame.repartition(max(len(splits), 1))
     cut = (separator or "\n").encode()
@@ -266,31 +268,50 @@ def read_zip_lines(
 ) -> DataFrame:
     """Pieces of the members of ZIP archives whose name matches `pattern`, without extraction.
 
-    An archive cannot be split, so its members stream through one task in chunks.
+    Members are listed first and dealt to tasks. A member cannot be split; it streams through its task
+    in chunks, from the archive's place in the file system, so neither it nor the archive is held.
     """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.zip")
         .load(paths)
-        .select("path", "content")
+        .select("path")
     )
 
-    def members(batches):
-        import io
-        import zipfile
+    def listed(batches):
+        for batch in batches:
+            for path in batch["path"]:
+                with open_archive(path) as archive:
+                    names = sorted(n for n in archive.namelist() if fnmatch(n.rsplit("/", 1)[-1], pattern))
+                yield pd.DataFrame({"path": path, "member": names}, dtype="object")
 
+    def members(batches):
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for name in sorted(archive.namelist()):
-                        if not fnmatch(name.rsplit("/", 1)[-1], pattern):
-                            continue
-                        with archive.open(name) as stream:
-                            yield from _pieces(path + "/" + name, stream, separator)
+            for path, member in zip(batch["path"], batch["member"]):
+                with open_archive(path) as archive, archive.open(member) as stream:
+                    yield from _pieces(path + "/" + member, stream, separator)
 
     root = paths if isinstance(paths, str) else None
-    return files.mapInPandas(members, _LINE).withColumn("path", relative_path(F.col("path"), root))
+    found = files.mapInPandas(listed, "path string, member string").repartition("path", "member")
+    return found.mapInPandas(members, _LINE).withColumn("path", relative_path(F.col("path"), root))
+
+
+def open_file(path: str):
+    """A file opened where it lies, at any place in it."""
+    from pyarrow import fs
+
+    uri = quote(re.sub(r"^file:/+", "file:///", path), safe="%/:@")
+    system, inner = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(inner)
+
+
+@contextmanager
+def open_archive(path: str):
+    import zipfile
+
+    with open_file(path) as file, zipfile.ZipFile(file) as archive:
+        yield archive
 
 
 def _pieces(path, stream, separator, size=20_000):

@@ -13,20 +13,21 @@ FILE_NAME = (
     r"^(?:Streaming_History_(?:Audio|Video)_.+|StreamingHistory(?:_(?:music|podcast)_\d+|\d+))\.json$"
 )
 TEXT_FIELDS = (
-    "ts endTime platform conn_country master_metadata_track_name master_metadata_album_artist_name "
-    "master_metadata_album_album_name spotify_track_uri episode_name episode_show_name "
-    "spotify_episode_uri audiobook_title audiobook_uri audiobook_chapter_uri audiobook_chapter_title "
-    "reason_start reason_end artistName trackName podcastName episodeName"
-)
-DURATION_FIELDS = "ms_played msPlayed"
-FLAG_FIELDS = "shuffle skipped offline incognito_mode"
-META_FIELDS = "reason_start reason_end offline incognito_mode conn_country"
-AUDIOBOOK_FIELDS = "audiobook_title audiobook_uri audiobook_chapter_uri audiobook_chapter_title"
-EPISODE_FIELDS = "episode_name episode_show_name spotify_episode_uri"
+    "ts", "endTime", "platform", "conn_country", "master_metadata_track_name",
+    "master_metadata_album_artist_name", "master_metadata_album_album_name", "spotify_track_uri",
+    "episode_name", "episode_show_name", "spotify_episode_uri", "audiobook_title", "audiobook_uri",
+    "audiobook_chapter_uri", "audiobook_chapter_title", "reason_start", "reason_end", "artistName",
+    "trackName", "podcastName", "episodeName",
+)
+DURATION_FIELDS = ("ms_played", "msPlayed")
+FLAG_FIELDS = ("shuffle", "skipped", "offline", "incognito_mode")
+META_FIELDS = ("reason_start", "reason_end", "offline", "incognito_mode", "conn_country")
+AUDIOBOOK_FIELDS = ("audiobook_title", "audiobook_uri", "audiobook_chapter_uri", "audiobook_chapter_title")
+EPISODE_FIELDS = ("episode_name", "episode_show_name", "spotify_episode_uri")
 
 _SCHEMA = ", ".join(
-    [f"{name} string" for name in f"{TEXT_FIELDS} {DURATION_FIELDS}".split()]
-    + [f"{name} boolean" for name in FLAG_FIELDS.split()]
+    [f"{name} string" for name in TEXT_FIELDS + DURATION_FIELDS]
+    + [f"{name} boolean" for name in FLAG_FIELDS]
 )
 
 
@@ -35,8 +36,8 @@ def _text(name: str) -> Column:
     return F.when(F.col("r")[name] != "", F.col("r")[name])
 
 
-def _any(names: str) -> Column:
-    return F.coalesce(*(_text(name) for name in names.split())).isNotNull()
+def _any(names: tuple[str, ...]) -> Column:
+    return F.coalesce(*(_text(name) for name in names)).isNotNull()
 
 
 def plays_from_json(records: DataFrame, source: str = "spotify") -> tuple[DataFrame, DataFrame]:
@@ -51,20 +52,20 @@ def plays_from_json(records: DataFrame, source: str = "spotify") -> tuple[DataFr
         F.when(extended & _any(AUDIOBOOK_FIELDS), "audiobook")
         .when(extended & _any(EPISODE_FIELDS), "episode")
         .when(F.col("name").startswith("Streaming_History_Video_"), "video")
-        .when(~extended & (F.contains("name", F.lit("podcast")) | _any("podcastName episodeName")), "episode")
+        .when(~extended & (F.contains("name", F.lit("podcast")) | _any(("podcastName", "episodeName"))), "episode")
         .otherwise("track")
     )
     artist = F.coalesce(
-        *(_text(n) for n in "master_metadata_album_artist_name episode_show_name audiobook_title".split())
+        *(_text(n) for n in ("master_metadata_album_artist_name", "episode_show_name", "audiobook_title"))
     )
     track = F.coalesce(
-        *(_text(n) for n in "master_metadata_track_name episode_name audiobook_chapter_title".split())
+        *(_text(n) for n in ("master_metadata_track_name", "episode_name", "audiobook_chapter_title"))
     )
     uri = F.coalesce(
-        *(_text(n) for n in "spotify_track_uri spotify_episode_uri audiobook_chapter_uri".split())
+        *(_text(n) for n in ("spotify_track_uri", "spotify_episode_uri", "audiobook_chapter_uri"))
     )
     meta = F.to_json(
-        F.struct(*(F.col("r")[name].alias(name) for name in META_FIELDS.split())),
+        F.struct(*(F.col("r")[name].alias(name) for name in META_FIELDS)),
         {"ignoreNullFields": "false"},
     )
     rows = rows.withColumns(

@@ -255,3 +255,41 @@ def test_decisions_cover_both_contacts(spark, rows):
         entities.decide(contacts, empty, "A", "p", "merge", now)
     with pytest.raises(ValueError):
         entities.decide(contacts, empty, "A", "nobody", "merge", now)
+
+
+def test_rejected_pairs_are_not_proposed_again(spark, rows):
+    identities = spark.createDataFrame(
+        [(k, n, "mail", 1, 0) for k, n in (("p", "Rada Ilinca Toma"), ("q", "Rada Ilinca"), ("r", "Rada Ilinca"))]
+        + [(f"x{i}", f"Other Person{i}", "mail", 1, 0) for i in range(60)],
+        IDENTITIES,
+    )
+    clusters = identities.select("identity", F.col("identity").alias("cluster"))
+    one = spark.createDataFrame([("p", "q", "reject")], DECISIONS)
+    both = spark.createDataFrame([("p", "q", "reject"), ("p", "r", "reject"), ("q", "r", "reject")], DECISIONS)
+    subset = ("rada ilinca", "rada ilinca toma")
+
+    def left(ruled):
+        found = rows(entities.proposals(identities, clusters, ruled), "name_a", "name_b", "score", "pairs")
+        return {(a, b): (s, n) for a, b, s, n in found if "rada" in a}
+
+    assert left(one) == {subset: (0.7, 1), ("rada ilinca", "rada ilinca"): (1.0, 1)}
+    assert left(both) == {}
+
+
+def test_order_of_identities_decides_the_ratio(spark, rows):
+    # The ratio of these names is .90 one way round and .80 the other.
+    names = {"a": "Iona Maria", "b": "Iona Maara"}
+    for turned in (False, True):
+        held = dict(zip(sorted(names), reversed(list(names.values())))) if turned else names
+        identities = spark.createDataFrame(
+            [(k, n, "mail", 1, 0) for k, n in held.items()] + [(f"x{i}", f"Else Body{i}", "mail", 1, 0) for i in range(60)],
+            IDENTITIES,
+        )
+        clusters = identities.select("identity", F.col("identity").alias("cluster"))
+        none = spark.createDataFrame([], DECISIONS)
+        named = entities.proposals(identities, clusters, none)
+        found = rows(entities.proposals_for("a", named, identities, clusters, none), "a", "b")
+        from difflib import SequenceMatcher
+
+        first, second = ("iona " + held["a"].split()[1].lower()), ("iona " + held["b"].split()[1].lower())
+        assert found == ([("a", "b")] if SequenceMatcher(None, first, second).ratio() >= 0.85 else [])

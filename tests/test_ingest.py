@@ -1,6 +1,5 @@
 """Idempotent appends: repeats, overlaps, refusals, failures and incremental passes."""
 
-import re
 from datetime import datetime
 
 import pytest
@@ -63,16 +62,34 @@ def test_bad_rows_are_refused_with_a_reason(spark, tmp_path):
     assert (stored.seen, stored.inserted, stored.refused) == (1, 1, 4)
 
 
-def test_only_months_of_the_batch_are_compared(spark, tmp_path):
+def test_an_id_is_stored_once_whatever_its_month(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("s", "k", datetime(2024, m, 5), "shell.command", "t", "{}") for m in (1, 2)],
+        "source string, source_row_id string, ts timestamp, kind string, title string, meta string",
+    )
+    path = str(tmp_path / "t")
+    stored = [ingest.append_new(rows.filter(F.month("ts") == m), "events", path, f"run-{m}") for m in (1, 2)]
+    assert [r.inserted for r in stored] == [1, 0]
+    assert ingest.read_table(spark, path).count() == 1
+
+
+def test_only_ids_of_stored_rows_are_read(spark, tmp_path):
     base = spark.range(400).selectExpr("'s' source", "cast(id as string) source_row_id", "timestamp_seconds(1704067200 + id * 86400) ts")
     keyed = ingest.keyed(base)
     keyed.write.partitionBy("month").parquet(str(tmp_path / "t"))
     stored = spark.read.parquet(str(tmp_path / "t"))
-    batch = keyed.filter("month = '2024-03'")
-    assert ingest.unseen(batch, stored).count() == 0
-    text = ingest.unseen(batch, stored)._jdf.queryExecution().executedPlan().toString()
-    filters = re.search(r"PartitionFilters: \[(.*?)\]", text).group(1)
-    assert "2024-03" in filters and "2024-04" not in filters
+    left = ingest.unseen(keyed.filter("month = '2024-03'"), stored)
+    assert left.count() == 0
+    assert "ReadSchema: struct<id:string>" in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_unreadable_table_is_an_error(spark, tmp_path):
+    assert ingest.read_table(spark, str(tmp_path / "none")) is None
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        ingest.read_table(spark, str(broken))
 
 
 def test_incremental_passes_take_new_files_only(spark, tmp_path):

@@ -88,3 +88,19 @@ def test_params_are_checked():
             Params(**bad)
     with pytest.raises(Exception):
         Params(tz="Nowhere/Land")
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT `reflect`('java.lang.Math', 'abs', -7)", "SELECT reflect/**/('java.lang.Math', 'abs', -7)",
+    "SELECT try_reflect('java.lang.Math', 'abs', -7)", "SELECT id, input_file_name() FROM numbers",
+    "SELECT id FROM numbers WHERE java_method('java.lang.Math', 'abs', -7) = '7'",
+])
+def test_reflection_is_refused_however_it_is_spelled(spark, numbers, sql):
+    with pytest.raises(services.QueryRefused):
+        services.bounded_query(spark, sql)
+
+
+def test_texts_that_look_like_calls_are_read_and_settings_stay(spark, numbers):
+    before = spark.conf.get("spark.sql.runSQLOnFiles")
+    found = services.bounded_query(spark, "SELECT 'reflect(1)' AS s, id FROM numbers WHERE id < 2")
+    assert [r[0] for r in found.rows] == ["reflect(1)"] * 2 and spark.conf.get("spark.sql.runSQLOnFiles") == before
