@@ -213,14 +213,17 @@ def _samples(s, d):
 
 register(
     "classify",
-    lambda s, d: classify.classify(_samples(s, d)).filter("rank = 1").select("path", "format", "confidence"),
-    """SELECT DISTINCT 'WhatsApp Chat with conv-' || conv_id || '.txt' AS path, 'whatsapp' AS format,
+    lambda s, d: classify.classify(_samples(s, d)),
+    """WITH best AS (SELECT DISTINCT 'WhatsApp Chat with conv-' || conv_id || '.txt' AS path, 'whatsapp' AS format,
         0.98::DOUBLE AS confidence FROM conversations
     UNION ALL SELECT 'everything.txt', 'whatsapp', 0.8 UNION ALL SELECT 'History.json', 'google_takeout', 0.95
     UNION ALL SELECT 'MyActivity.json', 'google_takeout', 0.95 UNION ALL SELECT 'zsh_history', 'shell_history', 1.0
     UNION ALL SELECT 'bash_history', 'shell_history', 0.95
     UNION ALL SELECT DISTINCT 'Streaming_History_Audio_' || (o_orderkey // 2 % 8) || '.json', 'spotify', 0.99 FROM orders
-    UNION ALL SELECT DISTINCT 'statement' || (o_custkey % 6) || '.csv', 'bank_csv', 0.95 FROM orders""",
+    UNION ALL SELECT DISTINCT 'statement' || (o_custkey % 6) || '.csv', 'bank_csv', 0.95 FROM orders),
+    every AS (SELECT path, f.format, CASE WHEN best.format = f.format THEN confidence ELSE 0 END AS confidence
+        FROM best, (SELECT unnest(['bank_csv', 'google_takeout', 'shell_history', 'spotify', 'whatsapp']) AS format) f)
+    SELECT *, row_number() OVER (PARTITION BY path ORDER BY confidence DESC, format) AS rank FROM every""",
 )
 register(
     "export_fingerprint",

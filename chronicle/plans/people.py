@@ -112,6 +112,60 @@ register(
     FROM (SELECT *, 'n' || (c_custkey // 2) AS n FROM customer WHERE c_custkey % 2 = 0) a
     JOIN (SELECT *, 'n' || (c_custkey // 2) AS n FROM customer WHERE c_custkey % 2 = 1) b ON a.n = b.n""",
 )
+def _ruled_customers(s, d):
+    """Customers as identities of their own; every third pair of alike names has been rejected."""
+    key = F.col("c_custkey")
+    name = F.concat(
+        F.lit("n"), F.expr("c_custkey div 2").cast("string"),
+        F.when(key % 2 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), "c_mktsegment")),
+    )
+    rows = A.table(s, d, "customer").select(
+        F.lpad(key.cast("string"), 9, "0").alias("identity"), name.alias("name"), F.lit("crm").alias("source"),
+        F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("preferred_n"), key.alias("key"),
+    )
+    refused = rows.filter("key % 6 = 0").select(
+        F.col("identity").alias("a"), F.lpad((F.col("key") + 1).cast("string"), 9, "0").alias("b"), F.lit("reject").alias("decision")
+    )
+    return rows.drop("key"), refused
+
+
+def _proposals(s, d):
+    identities, refused = _ruled_customers(s, d)
+    clusters = identities.select("identity", F.col("identity").alias("cluster"))
+    return entities.proposals(identities, clusters, refused).select("name_a", "name_b", "score", "pairs")
+
+
+_PROPOSED = """SELECT lower(a.n) AS name_a, lower(b.n || ' ' || b.c_mktsegment) AS name_b, 0.7::DOUBLE AS score, 1 AS pairs
+    FROM (SELECT *, 'n' || (c_custkey // 2) AS n FROM customer WHERE c_custkey % 2 = 0) a
+    JOIN (SELECT *, 'n' || (c_custkey // 2) AS n FROM customer WHERE c_custkey % 2 = 1) b ON a.n = b.n
+    WHERE a.c_custkey % 6 <> 0"""
+register("proposals", _proposals, _PROPOSED)
+
+
+def _clustered_by_rulings(s, d):
+    """Customers share one name by tens; rulings reject some pairs and merge some of different names."""
+    key = F.col("c_custkey")
+    rows = A.table(s, d, "customer").select(
+        F.lpad(key.cast("string"), 9, "0").alias("identity"), F.concat(F.lit("person t"), F.expr("c_custkey div 10").cast("string")).alias("name"),
+        F.lit("crm").alias("source"), F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("preferred_n"), key.alias("key"),
+    )
+    this, after = F.col("identity"), F.lpad((F.col("key") + 1).cast("string"), 9, "0")
+    rejects = rows.filter("key % 40 = 0").select(this.alias("a"), after.alias("b"), F.lit("reject").alias("decision"))
+    # The last of a group of ten is merged with the first of the next.
+    last = rows.filter(f"key % 40 = 19").join(rows.select(F.col("identity").alias("b")), F.col("b") == after)
+    merges = last.select(this.alias("a"), "b", F.lit("merge").alias("decision"))
+    return _smallest(entities.cluster_identities(rows.drop("key"), rejects.unionByName(merges)))
+
+
+register(
+    "cluster_identities_ruled",
+    _clustered_by_rulings,
+    # A refused pair splits its group: the second of the two is left alone, unless it is the only other member.
+    """WITH c AS (SELECT c_custkey AS k, c_custkey // 10 AS grp FROM customer),
+    split AS (SELECT k, CASE WHEN k % 40 = 1 AND (k - 1) IN (SELECT k FROM c) THEN -k ELSE
+        CASE WHEN grp % 4 = 2 AND (grp * 10 - 1) IN (SELECT k FROM c) AND (grp * 10) IN (SELECT k FROM c) THEN grp - 1 ELSE grp END END AS grp FROM c)
+    SELECT lpad(k::VARCHAR, 9, '0') AS identity, lpad(min(k) OVER (PARTITION BY grp)::VARCHAR, 9, '0') AS cluster FROM split""",
+)
 register(
     "cluster_identities",
     lambda s, d: _smallest(entities.cluster_identities(_identities(s, d), _nobody(s))),
@@ -137,14 +191,16 @@ _CONTACTS = _BASE + f""", members AS (SELECT c.identity, min(c.identity) OVER (P
     counted AS (SELECT id, name, sum(n) AS n, sum(preferred_n) AS p, array_agg(DISTINCT source) AS sources
         FROM identities JOIN ids USING (identity) GROUP BY id, name),
     contacts AS (SELECT id, arg_min(name, (-(p > 0)::INT, -CASE WHEN p > 0 THEN p ELSE n END, name)) AS display_name,
-        count(*) AS aliases FROM counted GROUP BY id)"""
+        count(*) AS names FROM counted GROUP BY id)"""
 register(
     "build_contacts",
     lambda s, d: _resolved(s, d).select(
-        "id", "display_name", F.size("aliases").cast("bigint").alias("aliases"), F.size("identities").cast("bigint").alias("identities")
+        "id", "display_name", *(F.array_join(c, "|").alias(c) for c in ("aliases", "identities", "sources"))
     ),
-    _CONTACTS + """ SELECT id, display_name, aliases, identities FROM contacts
-    JOIN (SELECT id, count(*) AS identities FROM ids GROUP BY id) USING (id)""",
+    _CONTACTS + """ SELECT id, display_name, aliases, identities, sources FROM contacts
+    JOIN (SELECT id, string_agg(identity, '|' ORDER BY identity) AS identities FROM ids GROUP BY id) USING (id)
+    JOIN (SELECT id, string_agg(name, '|' ORDER BY name) AS aliases FROM (SELECT DISTINCT id, name FROM counted) GROUP BY id) USING (id)
+    JOIN (SELECT id, string_agg(source, '|' ORDER BY source) AS sources FROM (SELECT DISTINCT id, source FROM identities JOIN ids USING (identity)) GROUP BY id) USING (id)""",
 )
 
 

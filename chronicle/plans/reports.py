@@ -59,26 +59,74 @@ _QUESTION = """WITH big AS (SELECT o_custkey, trim(o_orderpriority) AS p, o_tota
 
 
 def _question(s, d):
+    """The statement through the guard, the row limit and the time limit."""
     A.table(s, d, "orders").createOrReplaceTempView("chronicle_orders")
-    return s.sql(services.read_only(_QUESTION.format(orders="chronicle_orders") + " -- a remark"))
+    sql = _QUESTION.format(orders="chronicle_orders") + " ORDER BY priority -- a remark"
+    found = services.bounded_query(s, sql, limit=4, seconds=120)
+    rows = [(*row, found.truncated) for row in found.rows]
+    return s.createDataFrame(rows, "priority string, large bigint, top double, truncated boolean")
 
 
-register("bounded_query", _question, _QUESTION.format(orders="orders"))
+register(
+    "bounded_query",
+    _question,
+    f"""SELECT *, (SELECT count(DISTINCT split_part(trim(o_orderpriority), '-', 2)) FROM orders) > 4 AS truncated
+    FROM ({_QUESTION.format(orders="orders")} ORDER BY priority LIMIT 4)""",
+)
 
 
 def _export(s, d):
+    """What is read back from both formats: the plain columns and a nested one."""
     rows = A.table(s, d, "conversations").withColumn("words", F.split("text", " "))
-    counts = [
-        (fmt, services.export_table(rows, f"{checkpoint_folder(s)}/export-{uuid4().hex}", fmt))
-        for fmt in ("csv", "parquet")
-    ]
-    return s.createDataFrame(counts, "format string, rows bigint")
+    parts = []
+    for fmt in ("csv", "parquet"):
+        path = f"{checkpoint_folder(s)}/export-{uuid4().hex}"
+        written = services.export_table(rows, path, fmt)
+        read = s.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path) if fmt == "csv" else s.read.parquet(path)
+        words = F.from_json("words", "array<string>") if fmt == "csv" else F.col("words")
+        parts.append(
+            read.select(
+                F.lit(fmt).alias("format"), F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
+                "role", "text", F.array_join(words, "|").alias("words"), F.lit(written).cast("bigint").alias("rows"),
+            )
+        )
+    return parts[0].unionByName(parts[1])
 
 
 register(
     "export_table",
     _export,
-    """SELECT unnest(['csv', 'parquet']) AS format, (SELECT count(*) FROM conversations) AS rows""",
+    """SELECT format, conv_id, turn, role, text, array_to_string(string_split(text, ' '), '|') AS words,
+        (SELECT count(*) FROM conversations) AS rows FROM conversations, (SELECT unnest(['csv', 'parquet']) AS format)""",
+)
+
+
+def _availability(s, d):
+    """Which operators have data when there are no transactions."""
+    tables = {**_tables(s, d), "transactions": A.transactions(s, d).limit(0)}
+    found = {spec.id for spec in registry.available(tables)}
+    rows = [(name, spec.title, name in found) for name, spec in registry.operators().items()]
+    return s.createDataFrame(rows, "id string, title string, available boolean")
+
+
+register(
+    "operator_registry",
+    _availability,
+    """WITH known(id, title, needs) AS (VALUES
+        ('cross.life_timeline', 'Life timeline', ''), ('cross.messages_vs_youtube', 'Messages versus YouTube', 'me'),
+        ('cross.soundtrack', 'Soundtrack of a period', 'p'), ('cross.spend_vs_listening', 'Spend versus listening', 'tp'),
+        ('messages.activity_heatmap', 'Activity by local hour', 'm'), ('messages.conversation_starters', 'Conversation starters', 'm'),
+        ('messages.emoji_words', 'Your emoji and words by year', 'm'), ('messages.response_times', 'Reply times', 'm'),
+        ('messages.streaks_silences', 'Streaks and silences', 'm'), ('messages.top_contacts_by_year', 'Top contacts by year', 'm'),
+        ('messages.volume_by_contact', 'Message volume by contact', 'm'), ('money.delivery_index', 'Delivery index', 't'),
+        ('money.income_vs_spend', 'Income and spending', 't'), ('money.spend_by_category', 'Spending by category', 't'),
+        ('money.subscriptions', 'Recurring subscriptions', 't'), ('money.weekday_weekend', 'Weekday and weekend spending', 't'),
+        ('music.discovery_rate', 'New artist discovery', 'p'), ('music.listening_minutes', 'Listening time', 'p'),
+        ('music.seasonality', 'Seasonal listening', 'p'), ('music.skips_obsessions', 'Skips and obsessions', 'p'),
+        ('music.top_artists_by_year', 'Top artists by year', 'p')),
+    filled AS (SELECT (SELECT count(*) FROM orders) > 0 AS m, (SELECT count(*) FROM lineitem) > 0 AS p, (SELECT count(*) FROM events) > 0 AS e)
+    SELECT id, title, NOT contains(needs, 't') AND (NOT contains(needs, 'm') OR m) AND (NOT contains(needs, 'p') OR p)
+        AND (NOT contains(needs, 'e') OR e) AS available FROM known, filled""",
 )
 
 
