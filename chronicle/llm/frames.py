@@ -31,10 +31,10 @@ def folder(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{what}-{uuid4().hex}"
 
 
-def kept(df: DataFrame, what: str = "stage") -> tuple[DataFrame, str]:
+def kept(df: DataFrame, what: str = "stage", compression: str = "zstd") -> tuple[DataFrame, str]:
     """`df` written once to a shared folder and read back, and that folder."""
     path = folder(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
