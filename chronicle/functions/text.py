@@ -32,20 +32,35 @@ EMOJI_PART = (
 EMOJI = EMOJI_PART + r"(?:\x{200D}" + EMOJI_PART + r")*"
 
 
+# Every emoji cluster holds one of these characters.
+EMOJI_SIGN = (
+    r"[\x{A9}\x{AE}\x{20E3}\x{2122}\x{2190}-\x{21FF}\x{2300}-\x{23FF}\x{2600}-\x{27BF}"
+    r"\x{2B1B}\x{2B50}\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1FAFF}]"
+)
+
+
 def strip_urls(column: Column) -> Column:
     return F.regexp_replace(column, URLS, "")
 
 
 def emoji(column: Column) -> Column:
     """Array of emoji clusters: flags, keycaps, skin tones and joined sequences stay whole."""
-    return F.regexp_extract_all(column, F.lit(EMOJI), F.lit(0))
+    found = F.regexp_extract_all(column, F.lit(EMOJI), F.lit(0))
+    return F.when(column.rlike(EMOJI_SIGN), found).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def words(column: Column) -> Column:
-    """Array of lowercase words of at least three letters that are no stopwords."""
-    stop = sorted(set(STOPWORDS.split()))
-    found = F.regexp_extract_all(F.lower(column), F.lit(WORDS), F.lit(0))
-    return F.filter(found, lambda word: ~word.isin(stop))
+    """Array of lowercase words of at least three letters, stopwords among them."""
+    return F.regexp_extract_all(F.lower(column), F.lit(WORDS), F.lit(0))
+
+
+def is_word(token: Column) -> Column:
+    """Whether a token is one of `words`; an emoji never is, as it has at most one letter-like character in a row."""
+    return token.rlike(f"^{WORDS}$")
+
+
+def is_stopword(word: Column) -> Column:
+    return word.isin(*sorted(set(STOPWORDS.split())))
 
 
 # ---- names and phones -------------------------------------------------------------------------

@@ -354,15 +354,12 @@ def _tokens(messages: DataFrame, params: Params) -> DataFrame:
         .filter(F.col("is_from_me") & (F.col("kind") == "text") & F.col("text").isNotNull())
         .select(F.year("local_ts").cast("bigint").alias("year"), text.strip_urls(F.col("text")).alias("text"))
     )
-    found = F.concat(
-        F.transform(text.emoji(F.col("text")), lambda t: F.struct(F.lit("emoji").alias("kind"), t.alias("token"))),
-        F.transform(text.words(F.col("text")), lambda t: F.struct(F.lit("word").alias("kind"), t.alias("token"))),
-    )
-    return (
-        rows.select("year", F.explode(found).alias("found"))
-        .select("year", "found.kind", "found.token")
-        .groupBy("year", "kind", "token")
-        .agg(F.count("*").alias("count"))
+    found = F.concat(text.emoji(F.col("text")), text.words(F.col("text")))
+    counted = rows.select("year", F.explode(found).alias("token")).groupBy("year", "token").agg(F.count("*").alias("count"))
+    # Kinds are told apart, and stopwords dropped, once per different token.
+    word = text.is_word(F.col("token"))
+    return counted.filter(~(word & text.is_stopword(F.col("token")))).select(
+        "year", F.when(word, "word").otherwise("emoji").alias("kind"), "token", "count"
     )
 
 

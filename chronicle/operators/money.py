@@ -282,15 +282,13 @@ def charges(transactions: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def day_gaps(transactions: DataFrame, params: Params) -> DataFrame:
+def day_gaps(paid: DataFrame) -> DataFrame:
     """(merchant, gap, weight): days between consecutive charges, and how often.
 
     Charges are counted per merchant and day before anything is ordered: n charges on one day are
     n - 1 gaps of 0 days. A merchant's rows are then at most its calendar days.
     """
-    days = (
-        charges(transactions, params).groupBy("merchant", "day").agg(F.count("*").alias("n"))
-    )
+    days = paid.groupBy("merchant", "day").agg(F.count("*").alias("n"))
     by_day = Window.partitionBy("merchant").orderBy("day")
     between = F.datediff("day", F.lag("day").over(by_day)).cast("bigint")
     gaps = days.withColumn("between", between).select(
@@ -309,9 +307,11 @@ def day_gaps(transactions: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def recurring_charges(transactions: DataFrame, params: Params) -> DataFrame:
+def recurring_charges(
+    transactions: DataFrame, params: Params, paid: DataFrame | None = None
+) -> DataFrame:
     """Merchants with at least three charges whose median day gap is monthly or yearly."""
-    counts = staged(day_gaps(transactions, params))
+    counts = staged(day_gaps(charges(transactions, params) if paid is None else paid))
     interval = stats.exact_median(counts, ["merchant"], "gap", "weight", 64)
     return (
         interval.select(
@@ -376,7 +376,7 @@ def _runs_of_merchant(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def price_runs(
-    transactions: DataFrame, params: Params, recurring: DataFrame | None = None
+    transactions: DataFrame, params: Params, recurring: DataFrame | None = None, paid: DataFrame | None = None
 ) -> DataFrame:
     """Consecutive prices of every recurring merchant, and whether its history is steady.
 
@@ -384,9 +384,11 @@ def price_runs(
     get here: half of their gaps are at least 25 days, so n charges span at least 12 n days and no
     merchant can hold more than a few thousand, whatever the size of the data.
     """
+    if paid is None:
+        paid = staged(charges(transactions, params))
     if recurring is None:
-        recurring = recurring_charges(transactions, params)
-    rows = charges(transactions, params).join(recurring.select("merchant"), "merchant", "left_semi")
+        recurring = recurring_charges(transactions, params, paid)
+    rows = paid.join(recurring.select("merchant"), "merchant", "left_semi")
     return rows.groupBy("merchant").applyInPandas(_runs_of_merchant, _RUNS)
 
 
@@ -395,10 +397,12 @@ def subscriptions(transactions: DataFrame, params: Params) -> DataFrame:
     reference = params.date_to or params.as_of
     if reference is None:
         raise ValueError("subscriptions need date_to or as_of to decide what is active")
-    recurring = staged(recurring_charges(transactions, params))
+    # The charges are read several times: the table, and its currency, once.
+    paid = staged(charges(transactions, params))
+    recurring = staged(recurring_charges(transactions, params, paid))
     price = F.struct("first_charge", "last_charge", "amount")
     folded = (
-        price_runs(transactions, params, recurring)
+        price_runs(transactions, params, recurring, paid)
         .filter("established")
         .groupBy("merchant")
         .agg(

@@ -13,9 +13,11 @@ from chronicle.plans import adapters as A
 from chronicle.plans import exports as X
 from chronicle.plans import registry, yearly
 from chronicle.plans.ingestion import _STATEMENTS
+from chronicle.plans.insights import _BRANDS, _INCOME, _SPEND
 from chronicle.plans.query import register, rounded
 from chronicle.session import checkpoint_folder
-from chronicle.sources import bank
+from chronicle.sources import bank, shell
+from chronicle.streaming.incremental import incremental_ingest
 
 
 def _tables(s, d):
@@ -148,6 +150,30 @@ register(
         AS rows_inserted FROM copies""",
 )
 
+def _passes(s, d):
+    """Orders as command histories that arrive in two overlapping batches of files; the stream runs after each."""
+    base = f"{checkpoint_folder(s)}/stream-{uuid4().hex}"
+    orders = A.table(s, d, "orders").withColumn("k", F.col("o_orderkey"))
+    line = F.concat(F.lit("#"), (F.lit(1700000000) + F.col("k")).cast("string"), F.lit("\norder "), F.col("k").cast("string"))
+    for wave, left_out in (("first", 0), ("second", 1)):
+        orders.filter(f"k % 3 <> {left_out}").select(line.alias("value")).write.text(f"{base}/in/{wave}")
+        incremental_ingest(
+            s, f"{base}/in", lambda pieces: shell.shell_events(pieces)[0], "events", f"{base}/warehouse", f"{base}/checkpoint", "shell_history"
+        ).awaitTermination()
+    runs = ingest.imports(s.read.parquet(f"{base}/warehouse/imports")).agg(
+        F.sum("rows_seen").alias("seen"), F.sum("rows_inserted").alias("inserted"), F.count("*").alias("passes")
+    )
+    stored = s.read.parquet(f"{base}/warehouse/events").select("title", F.unix_seconds("ts").alias("at"))
+    return stored.crossJoin(F.broadcast(runs))
+
+
+register(
+    "incremental_ingest",
+    _passes,
+    """SELECT 'order ' || o_orderkey AS title, 1700000000 + o_orderkey AS at, 2 AS passes, (SELECT count(*) FROM orders)::BIGINT AS inserted,
+        (SELECT sum((o_orderkey % 3 <> 0)::INT + (o_orderkey % 3 <> 1)::INT) FROM orders)::BIGINT AS seen FROM orders""",
+)
+
 # ---- yearly -----------------------------------------------------------------------------------
 
 # The events of the tables are years later than everything else.
@@ -160,8 +186,6 @@ def _compared(s, d, ids=_COMPARED):
     return yearly.year_over_year(s, _tables(s, d), UNTIL, [known[i] for i in ids])
 
 
-_SPEND = """CASE WHEN kind = 'refund' THEN -amount WHEN amount < 0 AND kind NOT IN ('exchange', 'topup') THEN -amount ELSE 0 END"""
-_INCOME = "CASE WHEN amount > 0 AND kind NOT IN ('exchange', 'topup', 'refund') THEN amount ELSE 0 END"
 _YEARLY = A.with_views(*_VIEWS) + f"""span AS (SELECT greatest((SELECT max(ts) FROM messages), (SELECT max(ts) FROM media_plays),
         (SELECT max(ts) FROM transactions), (SELECT max(ts) FROM app_events)) AS m),
     capped AS (SELECT least(m::DATE, DATE '2000-12-31') AS m FROM span),
@@ -190,12 +214,54 @@ register(
     _YEARLY + """ SELECT dig_id, label, dig_title, delta_unit, 4 - (SELECT count(*) FROM pairs) AS skipped_digs, unit, this_year,
         last_year, round(delta, 6) AS delta_pct, year, previous_year FROM pairs""",
 )
+# The other headlines for both years. No merchant of the tables recurs within a year, so subscriptions have none;
+# an obsession's headline names its week and never compares.
+_MORE = f"""
+    chats AS (SELECT *, year(ts) AS yy, coalesce(contact_id, chat_name, 'Unknown') AS who FROM messages
+        WHERE kind <> 'system' AND chat_kind = 'direct'),
+    nth AS (SELECT *, row_number() OVER (PARTITION BY yy, source, chat_id ORDER BY ts, id) AS place FROM chats),
+    pairs_of AS (SELECT a.yy, a.is_from_me AS mine, b.is_from_me AS theirs, epoch_us(a.ts) - epoch_us(b.ts) AS us
+        FROM nth a LEFT JOIN nth b ON b.yy = a.yy AND b.source = a.source AND b.chat_id = a.chat_id AND b.place = a.place - 1),
+    active AS (SELECT DISTINCT yy, who, ts::DATE AS d FROM chats),
+    islands AS (SELECT yy, count(*) AS n FROM (SELECT yy, who, d - CAST(row_number() OVER (PARTITION BY yy, who ORDER BY d) AS INTEGER) AS g
+        FROM active) GROUP BY yy, who, g),
+    busiest AS (SELECT yy, min(coalesce(chat_name, 'Unknown')) AS label, count(*) AS n FROM chats GROUP BY yy, who
+        QUALIFY row_number() OVER (PARTITION BY yy ORDER BY n DESC, label) = 1),
+    paid AS (SELECT *, year(ts) AS yy, {_SPEND} AS spent, contains(lower(category), 'delivery') OR contains(lower(category), 'takeaway')
+        OR regexp_matches(lower(coalesce(merchant, merchant_raw)), '(^|[^0-9a-z_])({_BRANDS})($|[^0-9a-z_])') AS food
+        FROM transactions WHERE currency = (SELECT currency FROM cur)),
+    kinds_of AS (SELECT yy, coalesce(category, 'Uncategorised') AS label, sum(spent)::DOUBLE AS v FROM paid
+        WHERE kind = 'refund' OR amount < 0 AND kind <> 'exchange' AND kind <> 'topup' GROUP BY yy, label
+        QUALIFY row_number() OVER (PARTITION BY yy ORDER BY sum(spent) DESC, label) = 1),
+    calendar AS (SELECT yy, unnest(generate_series(make_timestamp(yy, 1, 1, 0, 0, 0), make_timestamp(yy, 12, 31, 0, 0, 0), INTERVAL 1 DAY))::DATE AS d FROM years),
+    daily AS (SELECT ts::DATE AS d, sum(spent) AS s FROM paid GROUP BY 1),
+    sides AS (SELECT yy, isodow(d) > 5 AS weekend, sum(coalesce(s, 0))::DOUBLE / count(*) AS v FROM calendar LEFT JOIN daily USING (d) GROUP BY ALL),
+    food_months AS (SELECT yy, month(ts) AS m, 100 * coalesce(sum(spent) FILTER (food), 0)::DOUBLE / nullif(sum(spent), 0)::DOUBLE AS v FROM paid GROUP BY ALL),
+"""
+_OTHERS = """
+        UNION ALL SELECT 'messages.volume_by_contact', label, 'Message volume by contact', 'messages', yy, n FROM busiest
+        UNION ALL SELECT 'messages.response_times', 'Your median reply', 'Reply times', 'minutes', yy, round(quantile_cont(us, 0.5) / 6e7, 1) FROM pairs_of
+            WHERE mine AND NOT theirs AND us <= 86400000000 GROUP BY yy
+        UNION ALL SELECT 'messages.conversation_starters', 'Conversations you started', 'Conversation starters', '%', yy,
+            round(100.0 * sum(mine::INT) / count(*), 1) FROM pairs_of WHERE us IS NULL OR us >= 21600000000 GROUP BY yy
+        UNION ALL SELECT 'messages.streaks_silences', 'Longest streak', 'Streaks and silences', 'days', yy, max(n) FROM islands GROUP BY yy
+        UNION ALL SELECT 'money.spend_by_category', label, 'Spending by category', (SELECT currency FROM cur), yy, v FROM kinds_of
+        UNION ALL SELECT 'money.weekday_weekend', 'Weekend minus weekday day', 'Weekday and weekend spending', (SELECT currency FROM cur), yy,
+            round(max(v) FILTER (weekend) - max(v) FILTER (NOT weekend), 2) FROM sides GROUP BY yy
+        UNION ALL SELECT 'money.delivery_index', 'Latest delivery share', 'Delivery index', '%', yy, round(arg_max(v, m), 1) FROM food_months GROUP BY yy),
+    pairs AS ("""
+_EVERY = (
+    _YEARLY.replace("    heads AS (", _MORE + "    heads AS (", 1)
+    .replace("),\n    pairs AS (", _OTHERS, 1)
+    .replace("b.dig_id = a.dig_id", "b.dig_id = a.dig_id AND b.label = a.label")
+)
 register(
     "year_over_year_all",
     lambda s, d: rounded(
         yearly.year_over_year(s, _tables(s, d), UNTIL).select("dig_id", "label", "this_year", "last_year", "delta_pct"),
         "this_year", "last_year", "delta_pct", places=4,
     ),
+    _EVERY + """ SELECT dig_id, label, round(this_year, 4) AS this_year, round(last_year, 4) AS last_year, round(delta, 4) AS delta_pct FROM pairs""",
 )
 register(
     "year_summary",

@@ -95,7 +95,7 @@ def test_recurring_charges_order_days_not_rows(spark):
     df = spark.range(10).selectExpr(
         "cast(id as string) id", "'s' source", "timestamp_seconds(id * 2592000) ts", "cast(-5 as decimal(18,2)) amount",
         "'EUR' currency", "concat('M', id % 2) merchant", "'m' merchant_raw", "'c' category", "'card' kind")
-    text = plan(money.day_gaps(df, Params(currency="EUR")))
+    text = plan(money.day_gaps(money.charges(df, Params(currency="EUR"))))
     first = text.rindex("lag(day")
     assert "HashAggregate(keys=[merchant" in text[first:]
 
