@@ -331,7 +331,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     """(_key, _print, begin, end): spans of repeated bytes, which may overlap. `docs`: (_key, _print, _text)."""
     spark = docs.sparkSession
     every, stage = kept(records(docs, length, gram), "records")
-    often = every.groupBy("name").count().filter(F.col("count") > 1).select("name")
+    # Written, so that Spark measures it and may split what a frequent name brings to the join.
+    often, _ = kept(every.groupBy("name").count().filter(F.col("count") > 1).select("name"), "names")
     shared, _ = kept(every.join(often, "name"), "records")
     dropped(spark, stage)
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffles that `shared` has replaced
