@@ -32,10 +32,10 @@ EMOJI_PART = (
 EMOJI = EMOJI_PART + r"(?:\x{200D}" + EMOJI_PART + r")*"
 
 
-# Every emoji cluster holds one of these characters.
-EMOJI_SIGN = (
-    r"[\x{A9}\x{AE}\x{20E3}\x{2122}\x{2190}-\x{21FF}\x{2300}-\x{23FF}\x{2600}-\x{27BF}"
-    r"\x{2B1B}\x{2B50}\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1FAFF}]"
+# Whatever an emoji cluster is made of; runs of anything else only part clusters.
+EMOJI_OTHER = (
+    r"[^#*0-9\x{A9}\x{AE}\x{200D}\x{20E3}\x{2122}\x{2190}-\x{21FF}\x{2300}-\x{23FF}\x{2600}-\x{27BF}"
+    r"\x{2B1B}\x{2B50}\x{FE0E}\x{FE0F}\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1FAFF}\x{E0020}-\x{E007F}]+"
 )
 
 
@@ -45,8 +45,7 @@ def strip_urls(column: Column) -> Column:
 
 def emoji(column: Column) -> Column:
     """Array of emoji clusters: flags, keycaps, skin tones and joined sequences stay whole."""
-    found = F.regexp_extract_all(column, F.lit(EMOJI), F.lit(0))
-    return F.when(column.rlike(EMOJI_SIGN), found).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.regexp_extract_all(F.regexp_replace(column, EMOJI_OTHER, "\n"), F.lit(EMOJI), F.lit(0))
 
 
 def words(column: Column) -> Column:

@@ -107,12 +107,12 @@ def test_plays_are_counted_before_the_join(spark):
     assert text[join:].count("HashAggregate") >= 4
 
 
-@pytest.mark.parametrize("small", [10_000, 1])
-def test_file_facts_do_not_gather_a_file(spark, monkeypatch, small):
-    """Broadcast while few, salted beyond: rows of one file stay spread either way."""
+@pytest.mark.parametrize("limit", ["10485760", "-1"])
+def test_file_facts_do_not_gather_a_file(spark, limit):
+    """One salted plan; Spark broadcasts the facts where its own limit allows. Rows of one file stay spread either way."""
     from chronicle.functions import joins
 
-    monkeypatch.setattr(joins, "SMALL", small)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     rows = spark.range(1000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 7)).alias("path"),
         F.expr("id div 10").alias("block"), "id")
@@ -122,4 +122,5 @@ def test_file_facts_do_not_gather_a_file(spark, monkeypatch, small):
     assert joins.join_facts(rows, facts.filter("path = 'hot'"), "path", "left").filter("fact IS NULL").count() == 666
     assert joins.join_facts(rows, facts.filter("path = 'hot'").select("path"), "path", "left_semi").count() == 334
     text = plan(joined)
-    assert ("BroadcastExchange" in text) if small > 1 else ("_salt" in text)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert "_salt" in text and ("BroadcastExchange" in text) == (limit != "-1")
