@@ -33,6 +33,7 @@ from chronicle.llm.frames import as_bytes, dropped, keyed, kept
 
 LENGTH, GRAM = 400, 200
 CROWD = 4096  # different records of one name that are sorted together
+FREQUENT, SALTS = 1000, 32  # records of one name beyond which their rows are salted, and by how much
 TOGETHER = 400_000  # suffixes sorted at a time, or those of one name
 
 _BASE = 0x9E3779B97F4A7C15
@@ -332,16 +333,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     spark = docs.sparkSession
     every, stage = kept(records(docs, length, gram), "records")
     # Written, so that Spark measures it and may split what a frequent name brings to the join.
-    often, _ = kept(every.groupBy("name").count().filter(F.col("count") > 1).select("name"), "names")
+    often, _ = kept(every.groupBy("name").agg(F.count("*").alias("often")).filter("often > 1"), "names")
     shared, _ = kept(every.join(often, "name"), "records")
     dropped(spark, stage)
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffles that `shared` has replaced
     different = shared.groupBy("name", "digest").agg(
-        F.count("*").alias("n"), F.min(F.struct("_key", "_print", "first", "last")).alias("one")
+        F.count("*").alias("n"), F.first("often").alias("often"), F.min(F.struct("_key", "_print", "first", "last")).alias("one")
     )
     different, _ = kept(different, "different")
     kinds = different.groupBy("name").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    whole = shared.join(different.filter("n > 1").select("name", "digest"), ["name", "digest"]).select(
+    # A name of many copies is dealt to as many tasks, by salt.
+    salts = F.when(F.col("often") > FREQUENT, F.lit(SALTS)).otherwise(F.lit(1))
+    salted = different.filter("n > 1").select("name", "digest", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    dealt = shared.withColumn("salt", F.pmod(F.xxhash64("_key", "_print"), salts).cast("int"))
+    whole = dealt.join(salted, ["name", "digest", "salt"]).select(
         "_key", "_print", F.col("first").alias("begin"), (F.col("last") + length).alias("end")
     )
     wanted, _ = kept(different.join(kinds, "name").select("name", "kinds", "one.*"), "wanted")
@@ -352,6 +357,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     compared = _sorted_spans(parts.join(names, "name", "left_anti"), length, gram)
     counted = _counted_spans(parts.join(names, "name", "left_semi"), length)
     spans, _ = kept(compared.unionByName(counted).unionByName(whole), "spans")
+    spark.sparkContext._jvm.System.gc()
     return spans
 
 

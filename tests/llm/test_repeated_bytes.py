@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from chronicle.llm import repeated_bytes
 from chronicle.llm.repeated_bytes import Suffixes, deduplicated, sliding_least
 
 
@@ -42,6 +43,12 @@ def test_matches_brute_force(spark, crowd):
     assert deduplicated(df.limit(0), 12, 5).count() == 0
 
 
+def test_frequent_names_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(repeated_bytes, "FREQUENT", 2)
+    rows = [(i, "common words before " + "abcdefgh" * 6 + str(i % 3)) for i in range(40)] + [(99, "nothing like it")]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), 12, 5)
+
+
 def test_documents(spark):
     check(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), 400, 200)
 
