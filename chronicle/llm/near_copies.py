@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronicle.llm import similar
 from chronicle.llm.frames import as_bytes, keyed, kept
 from chronicle.operators.entities import components
 
@@ -176,7 +177,10 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest key, with all its columns; rows with a null key stay."""
-    members = grouped(docs)
+    """One document of each group of `similar`, the one with the smallest key, with all its columns; rows with a null key stay.
+
+    The corpus drops copies by the general rule, five words and a similarity of 0.8; fingerprints within `RADIUS` are op3's.
+    """
+    members = similar.grouped(docs)
     later = members.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_later")).distinct()
     return docs.join(later, docs["doc_id"] == later["_later"], "left_anti")
