@@ -1,17 +1,21 @@
 """Line dedup by winnowing: later copies of repeated runs of lines are deleted. DataFrame functions only.
 
-A document is the sequence of its lines that are not blank, compared without white space at their ends. Of every `run` consecutive
-lines the least line hash is selected; any repeated run of at least `run` lines therefore shares a selected fingerprint at the
+A document is the sequence of its lines that are not blank, compared without white space at their ends. A run counts if it has at
+least `run` lines or more than `LONG` words, were it one line; shorter runs, as common short lines make them, stay. Windows are
+the `run` consecutive lines at each place, and the fewer lines there that have more than `LONG` words, so that windows cover every run that
+counts. Of every window the least line hash is selected; any repeated run that counts therefore shares a selected fingerprint at the
 same place in both copies. Fingerprints that occur more than once are joined with the positions that selected them, and there
-the match is extended both ways over all `run` lines of each window that selected the fingerprint. A window of lines that occurred
+the match is extended both ways over all lines of each window that selected the fingerprint. A window of lines that occurred
 earlier, in the order of keys and then of lines, is a match; overlapping matches of a document grow into maximal runs, which
 are deleted with the blank lines inside them. The first occurrence of every window stays.
 
+Words are separated by white space (ASCII), so a long line of a script without spaces is one word and counts by lines only.
+
 Hot lines and copies: positions are aggregated before they are shuffled (a count for each fingerprint, the earliest position for each
 window), and never paired with each other; joins meet one row for each fingerprint or window, so Spark may split their
-large side. Line hashes have 64 bits, and a match needs `run` of them in a row.
+large side. Line hashes have 64 bits, and a match needs all of a window's in a row: one for a long line, or up to `run`.
 
-Defined results: null text counts no lines and stays null; empty and blank texts, and documents of fewer than `run` lines, stay as
+Defined results: null text counts no lines and stays null; empty and blank texts, and documents without a run that counts, stay as
 they are; rows that repeat key and text are one document, so they lose the same lines; keys may be null (they come first); an empty
 table gives an empty table. `deduplicated` keeps all columns; the names that it uses for itself begin with an underscore.
 """
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from chronicle.llm.frames import kept
 
 RUN = 3
+LONG = 50  # a run of more words counts, however few lines it has
 _ENDS = " \t\r"
 
 
@@ -31,34 +36,43 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def window_rows(docs: DataFrame, key: str, text: str, run: int) -> DataFrame:
+def window_rows(docs: DataFrame, key: str, text: str, run: int, long: int = LONG) -> DataFrame:
     """(_key, _print, first, last, least, at, lines): each window of a document, with its least line hash and where that is."""
     numbered = F.transform(
         lines_of(F.col("_text")), lambda line, i: F.struct(i.alias("i"), F.btrim(line, F.lit(_ENDS)).alias("line"))
     )
     hashed = F.transform(
         F.filter(numbered, lambda x: x["line"] != ""),
-        lambda x: F.struct(F.xxhash64(x["line"]).alias("h"), x["i"].alias("i")),
-    )
-    part = lambda start: F.slice(F.col("_lines"), start + 1, run)
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size("_lines") - run),
-        lambda start: F.struct(part(start)["i"].alias("i"), part(start)["h"].alias("h"), F.array_min(part(start)).alias("m")),
+        lambda x: F.struct(
+            F.xxhash64(x["line"]).alias("h"), x["i"].alias("i"), F.size(F.split(x["line"], r"\s+")).alias("words")
+        ),
     )
+    part = lambda start, n: F.slice(F.col("_lines"), start + 1, n)
+    words = lambda lines: F.aggregate(lines, F.lit(0), lambda total, x: total + x["words"])
+
+    def counts(n: int, lines: Column) -> Column:
+        return (F.size(lines) == n) & (F.lit(True) if n == run else words(lines) > long)
+
+    def windows_at(start: Column) -> Column:
+        return F.filter(
+            F.array(*[F.when(counts(n, part(start, n)), part(start, n)) for n in range(1, run + 1)]), lambda w: w.isNotNull()
+        )
+
+    windows = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_lines") - 1), windows_at))
     return (
         docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_print"), F.col(text).alias("_text"))
         .withColumn("_lines", hashed)
-        .filter(F.size("_lines") >= run)
+        .filter(F.size("_lines") > 0)
         .select("_key", "_print", F.explode(windows).alias("w"))
         .select(
             "_key",
             "_print",
             F.element_at("w.i", 1).alias("first"),
             F.element_at("w.i", -1).alias("last"),
-            F.col("w.m.h").alias("least"),
-            F.col("w.m.i").alias("at"),
+            F.array_min(F.transform("w", lambda x: F.struct(x["h"].alias("h"), x["i"].alias("i")))).alias("m"),
             F.col("w.h").alias("lines"),
         )
+        .select("_key", "_print", "first", "last", F.col("m.h").alias("least"), F.col("m.i").alias("at"), "lines")
     )
 
 
@@ -69,17 +83,19 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run:
     selected = windows.select("_key", "_print", "least", "at").distinct()
     common = selected.groupBy("least").count().filter(F.col("count") > 1).select("least")
     candidates, _ = kept(windows.join(common, "least").drop("at"), "candidates")
-    earliest = (
+    # Written, since Spark splits a join's frequent key only where no aggregate shares the join's shuffle.
+    earliest, _ = kept(
         candidates.groupBy("lines")
         .agg(F.min(F.struct("_key", "_print", "first")).alias("origin"), F.count("*").alias("n"))
         .filter("n > 1")
-        .select("lines", "origin")
+        .select("lines", "origin"),
+        "earliest",
     )
     matches = (
         candidates.join(earliest, "lines")
         .filter(F.struct("_key", "_print", "first") != F.col("origin"))
-        .select("_key", "_print", "first", "last")
-        .distinct()
+        .groupBy("_key", "_print", "first")
+        .agg(F.max("last").alias("last"))
     )
     # Matches of a document that overlap or touch are one run. Windows come in the order of their starts and ends.
     before = F.max("last").over(

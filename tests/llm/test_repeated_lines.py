@@ -58,3 +58,40 @@ def test_documents_keep_their_columns(spark):
     found = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
     assert found == {1: ("a\nb\nc\nd", 7), 2: ("x\ny", 3), 4: (None, 0), 5: ("", 0), 6: ("  ", 2)}
     assert without_repeated_lines(df.limit(0)).count() == 0 and digest(df.limit(0)).count() == 0
+
+
+def test_long_passages_of_one_and_two_lines(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    long, edge, half, other = words("l", 51), words("e", 50), words("h", 30), words("o", 21)
+    rows = [
+        (1, f"{long}\n{edge}\nshort\n{half}\n\n{other}\nend"),
+        (2, f"mine\n {long}\t"),
+        (3, f"{edge}\nown\nshort\nalone"),
+        (4, f"x\n{half}\n\n{other}\ny"),
+        (5, f"{half}\nbetween\n{other}"),
+        (6, long),
+        (7, f"{long}\n{long}"),
+    ]
+    out = {r["doc_id"]: r["text"] for r in deduplicated(frame(spark, rows)).collect()}
+    assert out == dict(rows) | {2: "mine", 4: "x\ny", 6: "", 7: ""}
+    assert {r["doc_id"] for r in without_repeated_lines(frame(spark, rows)).collect()} == {1, 2, 3, 4, 5}
+
+
+def test_long_passages_match_brute_force(spark):
+    rng = random.Random(5)
+    pool = [" ".join(f"p{k}.{i}" for i in range(n)) for k, n in enumerate([1, 1, 2, 20, 26, 30, 50, 51, 60])]
+    rows = [(i, "\n".join(rng.choice(pool + [""]) for _ in range(rng.randint(1, 5)))) for i in range(60)]
+    seen, want = set(), {}
+    for key, text in rows:
+        lines = text.split("\n")
+        filled, cut = [i for i, line in enumerate(lines) if line], set()
+        for a in range(len(filled)):
+            for b in range(a, len(filled)):
+                run = tuple(lines[i] for i in filled[a : b + 1])
+                if len(run) >= 3 or len(" ".join(run).split()) > 50:
+                    # A run repeats if all its parts of up to three lines that count do; single windows decide.
+                    if len(run) <= 3 and run in seen:
+                        cut.update(range(filled[a], filled[b] + 1))
+                    seen.add(run)
+        want[key] = "\n".join(line for i, line in enumerate(lines) if i not in cut)
+    assert {r["doc_id"]: r["text"] for r in deduplicated(frame(spark, rows)).collect()} == want
