@@ -73,7 +73,8 @@ class Cells:
 
     def __init__(self, pivots: np.ndarray, radius: float):
         self.pivots, self.radius = pivots, radius
-        self.apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+        # From differences: 2 - 2 cos cancels where pivots have nearly one direction.
+        self.apart = np.stack([np.sqrt(((pivots - p) ** 2).sum(axis=1)) for p in pivots])
 
     def homes(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(home of each row, (row, cell): whether the row is a guest there)."""

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from chronicle.llm.near_vectors import grouped, spanning
+from chronicle.llm.near_vectors import Cells, grouped, spanning, unit
 
 
 def brute(rows, cosine=0.95):
@@ -49,3 +49,30 @@ def test_odd_vectors_and_small_cells(spark, cell, chunk):
 def test_spanning():
     pairs = np.array([[4, 5], [3, 4], [0, 1], [5, 6]])
     assert spanning(pairs, 8).tolist() == [0, 0, 2, 3, 3, 3, 3, 7]
+
+
+def scaled_copies(rng, copies, others, width=64):
+    """Multiples of one direction in single precision, and vectors at cosines around 0.95 to it."""
+    axis = rng.normal(size=width)
+    axis /= np.sqrt(axis @ axis)
+    side = rng.normal(size=(others, width))
+    side -= np.outer(side @ axis, axis)
+    side /= np.sqrt((side * side).sum(axis=1, keepdims=True))
+    cosine = rng.uniform(0.94, 1, others)[:, None]
+    near = cosine * axis + np.sqrt(1 - cosine**2) * side
+    return np.concatenate([np.outer(rng.uniform(0.1, 10, copies), axis), near]).astype(np.float32).astype(float)
+
+
+def test_linked_vectors_meet_in_a_cell_when_pivots_have_one_direction():
+    rng = np.random.default_rng(8)
+    rows = unit(scaled_copies(rng, 600, 600))
+    pivots = np.concatenate([rows[:13], rows[600:627]])
+    home, guest = Cells(pivots, np.sqrt(2 - 2 * 0.95)).homes(rows)
+    a, b = np.nonzero(np.triu(rows @ rows.T >= 0.95, 1))
+    assert (((home[a] == home[b]) | guest[a, home[b]] | guest[b, home[a]])).all()
+
+
+def test_scaled_copies_and_small_cells(spark):
+    rows = list(enumerate(scaled_copies(np.random.default_rng(9), 130, 260).tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, grouped(df, cell=10).collect()), key=repr) == brute(rows)
