@@ -6,9 +6,11 @@ another role; with empty turns inserted before it where the automaton asks for t
 markers; a turn's part of the rendering is its `fragment`, and the fragments of a conversation in order are its whole text, so no task
 ever holds the texts of one conversation together.
 
-Long conversations are split: turns are dealt by conversation and stretch of `STRETCH` turn numbers. Each stretch gives the least costs
-from any state to any other (a 4 x 4 table), the tables of a conversation are chained, and each stretch then repairs its turns between
-the two states the chain has chosen. Only roles are shuffled for that; texts move once, with their stretch.
+Long conversations are split: rows are sorted by range, in the stated order, written, and numbered by range and place; a stretch is the
+rows of a conversation among `STRETCH` numbers, so neither repeated or null turn numbers nor rows without a conversation id make it
+longer. Each stretch gives the least costs from any state to any other (a 4 x 4 table), the tables of a conversation are chained, and
+each stretch then repairs its turns between the two states the chain has chosen. Only roles are shuffled for that, one byte a turn goes
+with a conversation's tables; texts move twice, into their range and with their stretch, and are rendered as they stream by.
 
 Costs: merge 1, insertion 2, another role 3 (merging under another role: both). Ties: merge before a new turn, then the state that
 comes first in (start, system, user, assistant).
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from chronicle.llm.frames import kept
 
 STRETCH = 4096
+SLICE = 512  # rows that are Python objects at a time
 MERGE, INSERT, RELABEL = 1, 2, 3
 STATES = ("", "system", "user", "assistant")  # the role of the last turn; "" before the first
 NEXT = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
@@ -184,27 +187,30 @@ def formatted(
     code = F.coalesce(F.array_position(F.array(*map(F.lit, STATES[1:])), F.lower(F.trim(role))), F.lit(0)).cast("int")
     rows = turns.select(
         F.col(key).alias("_key"),
-        F.coalesce(F.floor(F.col(turn) / stretch), F.lit(-(1 << 62))).alias("_stretch"),
         F.col(turn).cast("long").alias("_turn"),
         F.coalesce(code, F.lit(0)).alias("_code"),
         F.col(role).alias("_role"),
         F.xxhash64(text).alias("_hash"),
         F.col(text).alias("_text"),
     )
-    order = ["_key", "_stretch", "_turn", "_role", "_hash"]
+    # The last column parts equal rows, any of which may come first; what is written fixes their order.
+    order = ["_key", "_turn", "_role", "_hash", "_tie"]
+    ranged = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered, _ = kept(ranged.drop("_hash", "_tie").withColumn("_id", F.monotonically_increasing_id()), "turns")
+    rows = numbered.withColumn("_stretch", F.floor(F.col("_id") / stretch))
 
     def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conversation, number), table in _stretches(batches):
             roles = tuple(table.column(2).to_pylist())
             costs, made = _short_table(roles) if len(roles) <= 64 else _table(roles)
             columns = [table.column(0).chunk(0).slice(0, 1), pa.array([number], pa.int64())]
-            columns += [pa.array([x], pa.list_(pa.int64())) for x in (costs, made)]
-            yield pa.RecordBatch.from_arrays(columns, ["_key", "_stretch", "costs", "made"])
+            columns += [pa.array([x], pa.list_(pa.int64())) for x in (costs, made)] + [pa.array([bytes(roles)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "_stretch", "costs", "made", "_codes"])
 
-    plain = rows.drop("_text")
+    plain = rows.select("_key", "_stretch", "_id", "_code")
     tables = (
-        plain.repartition("_key", "_stretch").sortWithinPartitions(*order).select("_key", "_stretch", "_code")
-        .mapInArrow(tabled, f"_key: {kind}, _stretch: bigint, costs: array<bigint>, made: array<bigint>")
+        plain.repartition("_key", "_stretch").sortWithinPartitions("_key", "_stretch", "_id").select("_key", "_stretch", "_code")
+        .mapInArrow(tabled, f"_key: {kind}, _stretch: bigint, costs: array<bigint>, made: array<bigint>, _codes: binary")
     )
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +221,8 @@ def formatted(
             last = [i == len(held) - 1 for i in range(len(held))]
             columns = [pa.array([r["_key"] for r in held], key_type[0]), pa.array([r["_stretch"] for r in held], pa.int64())]
             columns += [pa.array([f[i] for f in found], pa.int32()) for i in (0, 1)]
-            columns += [pa.array([f[2] for f in found], pa.int64()), pa.array(last)]
-            return pa.RecordBatch.from_arrays(columns, ["_key", "_stretch", "_entry", "_exit", "_made", "_last"])
+            columns += [pa.array([f[2] for f in found], pa.int64()), pa.array(last), pa.array([r["_codes"] for r in held], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["_key", "_stretch", "_entry", "_exit", "_made", "_last", "_codes"])
 
         key_type: list = [None]
         for batch in batches:
@@ -232,7 +238,7 @@ def formatted(
 
     plans = (
         tables.repartition("_key").sortWithinPartitions("_key", "_stretch")
-        .mapInArrow(chained, f"_key: {kind}, _stretch: bigint, _entry: int, _exit: int, _made: bigint, _last: boolean")
+        .mapInArrow(chained, f"_key: {kind}, _stretch: bigint, _entry: int, _exit: int, _made: bigint, _last: boolean, _codes: binary")
     )
     plans, _ = kept(plans, "plans")
     # A stretch's plan comes before its turns in one stream of rows.
@@ -240,23 +246,29 @@ def formatted(
     names = ["_key", "turn", "role", "action", "role_out", "out_turn", "inserted", "fragment"]
 
     def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in _stretches(batches):
-            plan, *lines = table.to_pylist()
-            roles = tuple(r["_code"] for r in lines)
-            number, out = plan["_made"], []
-            for i, (line, (before, after)) in enumerate(zip(lines, repaired(roles, plan["_entry"], plan["_exit"]))):
-                _, merged, inserted = choice(line["_code"], before, after)
-                first = before == 0
-                number += len(inserted) + (not merged)
-                end = closing(after) if plan["_last"] and i == len(lines) - 1 else None
-                action = ("merge" if merged else "keep") if line["_code"] == after else "merge_relabel" if merged else "relabel"
-                names_in = [STATES[s] for s in inserted] + [f"{STATES[s]} after" for s in end or ()]
-                part = fragment(line["_text"] or "", first, merged, inserted, after, end)
-                out.append((line["_turn"], line["_role"], action, STATES[after], number - 1, ",".join(names_in), part))
-            columns = [table.column(0).slice(1).combine_chunks()]
-            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            columns += [pa.array([o[i] for o in out], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    together = both.repartition("_key", "_stretch").sortWithinPartitions("_key", "_stretch", "_kind", *order[2:])
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+        plan, ways, number = None, iter(()), 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part, which, out = batch.slice(start, SLICE), [], []
+                for place, line in enumerate(part.to_pylist()):
+                    if not line["_kind"]:
+                        plan, number, left = line, line["_made"], len(line["_codes"])
+                        ways = iter(repaired(tuple(line["_codes"]), line["_entry"], line["_exit"]))
+                        continue
+                    before, after = next(ways)
+                    left -= 1
+                    _, merged, inserted = choice(line["_code"], before, after)
+                    number += len(inserted) + (not merged)
+                    end = closing(after) if plan["_last"] and not left else None
+                    action = ("merge" if merged else "keep") if line["_code"] == after else "merge_relabel" if merged else "relabel"
+                    names_in = [STATES[s] for s in inserted] + [f"{STATES[s]} after" for s in end or ()]
+                    made = fragment(line["_text"] or "", before == 0, merged, inserted, after, end)
+                    which.append(place)
+                    out.append((line["_turn"], line["_role"], action, STATES[after], number - 1, ",".join(names_in), made))
+                columns = [part.column(0).take(pa.array(which, pa.int64()))]
+                columns += [pa.array([o[i] for o in out], t) for i, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    together = both.repartition("_key", "_stretch").sortWithinPartitions("_key", "_stretch", "_kind", "_id")
     return together.mapInArrow(rendered, f"_key: {kind}, {_OUT}").withColumnRenamed("_key", key)

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 from itertools import product
 
+from chronicle.llm import chat_format
 from chronicle.llm.chat_format import INSERT, LAST, MERGE, NEXT, RELABEL, STATES, chain, formatted, _short_table
 
 SCHEMA = "conv_id long, turn long, role string, text string, action string, _key int"
@@ -99,3 +100,26 @@ def test_odd_rows(spark):
     assert texts[1] == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\n\n\n<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert legal(texts[None]) and legal(texts[2]) == 2
     assert formatted(df.limit(0)).count() == 0
+
+
+def test_repeated_turns_of_one_conversation_are_split(spark, tmp_path, monkeypatch):
+    plans, kept = [], chat_format.kept
+
+    def seen(df, what):
+        out = kept(df, what)
+        plans.extend([out[0]] if what == "plans" else [])
+        return out
+
+    monkeypatch.setattr(chat_format, "kept", seen)
+    rng = random.Random(7)
+    roles = [rng.choice(["user", "assistant", "system", None]) for _ in range(900)]
+    rows = [(None, rng.choice([None, 0, 1, 2]), role, f"t{i}", "a", 1) for i, role in enumerate(roles)]
+    rows += [(None, 1, "user", "same", "a", 1)] * 300 + [(4, 0, "user", "u", "a", 1), (4, 0, "assistant", "v", "a", 1)]
+    found = defaultdict(list)
+    for r in formatted(spark.createDataFrame(rows, SCHEMA), stretch=50).collect():
+        found[r["conv_id"]].append(r)
+    ordered = sorted((r for r in rows if r[0] is None), key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or ""))
+    assert len(found[None]) == 1200 and len(found[4]) == 2
+    assert cost_of(found[None]) == cheapest([STATES.index(r[2]) if r[2] else 0 for r in ordered])
+    sizes = [len(r["_codes"]) for r in plans[0].collect()]
+    assert max(sizes) <= 50 and sum(sizes) == 1202
