@@ -103,4 +103,116 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_
 FROM embeddings LEFT JOIN counted USING (vec_id) LEFT JOIN least USING (vec_id)
 """
 
-ORACLES = {"op6_near_vectors": _NEAR_VECTORS, "op9_line_dedup": _LINE_DEDUP, "op4_decontaminate": _DECONTAMINATE, "op7_url_rules": _URL_RULES}
+_CONVERSATION_REPAIR = r"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+  FROM conversations
+),
+hashed AS (
+  SELECT *, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                             lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))
+  ), 4294967295::BIGINT) % 20 AS damage FROM named
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+         CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, (VALUES (0), (1)) AS copies(copy) WHERE damage <> 0 AND (copy = 0 OR damage = 3)
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM damaged
+),
+judged AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+),
+turns AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN again THEN 'duplicate'
+                 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault
+  FROM judged
+),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM turns GROUP BY conv_id
+),
+moves(p, initial, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+inserted(p, q, cost, letters, lines) AS (
+  VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+         (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']), (2, 3, 2, 'I', ['assistant:']), (3, 2, 2, 'I', ['user:']),
+         (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])
+),
+edits AS (
+  SELECT t.conv_id, t.i, m.p, m.q, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cost, 'K' AS letter, [role || ':' || text] AS lines
+  FROM turns t JOIN moves m ON left(t.role, 1) = m.initial WHERE fault IS NULL OR fault = 'truncated'
+  UNION ALL
+  SELECT t.conv_id, t.i, m.p, m.q, CASE WHEN fault = 'truncated' THEN 3 ELSE 2 END, 'R',
+         [CASE m.initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text]
+  FROM turns t JOIN moves m ON m.initial <> 's' WHERE fault IS NULL OR fault = 'truncated'
+  UNION ALL
+  SELECT t.conv_id, t.i, s, s, 3, 'D', [] FROM turns t, range(4) AS states(s)
+),
+ways(conv_id, n, i, q, best) AS (
+  SELECT conv_id, n, 0::BIGINT, q, {'cost': cost, 'audit': letters, 'lines': lines} FROM counted, inserted WHERE p = 0
+  UNION ALL
+  SELECT w.conv_id, w.n, w.i + 1, x.q, min({
+    'cost': w.best.cost + e.cost + x.cost, 'audit': w.best.audit || e.letter || x.letters, 'lines': w.best.lines || e.lines || x.lines})
+  FROM ways w JOIN edits e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.p = w.q JOIN inserted x ON x.p = e.q
+  GROUP BY w.conv_id, w.n, w.i, x.q
+),
+solved AS (SELECT conv_id, min(best) AS best FROM ways WHERE i = n AND q IN (0, 3) GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+_EXACT_SEARCH = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q, vectors c WHERE q.vec_id % 100 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST))::INTEGER AS rank FROM scored
+) WHERE rank <= 10
+"""
+
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+_RANKED_SEARCH = f"""
+WITH words AS (SELECT rowid_, doc_id, unnest(w) AS term, len(w) AS n
+               FROM (SELECT row_number() OVER () AS rowid_, doc_id, {_TERMS} AS w FROM documents) WHERE len(w) > 0),
+sizes AS (SELECT count(DISTINCT rowid_) AS n_docs, count(*) AS n_terms FROM words),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+held AS (SELECT rowid_, doc_id, n, term, count(*) AS tf FROM words SEMI JOIN asked USING (term) GROUP BY ALL),
+weighted AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM held, sizes GROUP BY term, n_docs),
+scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM held JOIN weighted USING (term) JOIN asked USING (term), sizes GROUP BY item_id, rowid_, doc_id
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank FROM scored WHERE score > 0
+) WHERE rank <= 20
+"""
+
+ORACLES = {
+    "op4_decontaminate": _DECONTAMINATE,
+    "op6_near_vectors": _NEAR_VECTORS,
+    "op7_url_rules": _URL_RULES,
+    "op9_line_dedup": _LINE_DEDUP,
+    "op11_conversation_repair": _CONVERSATION_REPAIR,
+    "op12_exact_top_k": _EXACT_SEARCH,
+    "op13_ranked_search": _RANKED_SEARCH,
+}

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronicle.llm import (
     chat_format,
+    conversation_repair,
     decontaminate,
+    exact_search,
     language,
     near_copies,
     near_vectors,
     packing,
+    ranked_search,
     repeated_bytes,
     repeated_lines,
     token_files,
@@ -60,6 +64,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digest(conversation_repair.damaged(table(spark, sf_dir, "conversations")), gone="gone")
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_k(table(spark, sf_dir, "embeddings"), F.col("_key") % 100 == 0)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _ALL = (
     op1_language_id,
     op2_suffix_dedup,
@@ -71,6 +87,9 @@ _ALL = (
     op8_best_fit_packing,
     op9_line_dedup,
     op10_token_files,
+    op11_conversation_repair,
+    op12_exact_top_k,
+    op13_ranked_search,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 __all__ = ["ORACLES", "QUERIES"]
