@@ -60,13 +60,19 @@ lines AS (
   FROM (SELECT doc_id, l, unnest(generate_series(0, len(l) - 1)) AS i FROM docs WHERE text IS NOT NULL)
 ),
 filled AS (
-  SELECT doc_id, i, line, lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3, lead(i, 2) OVER w AS last
-  FROM lines WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT doc_id, i, line, len(string_split_regex(line, '[ \t\n\x0B\f\r]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n
+  FROM lines WHERE line <> ''
+),
+runs AS (  -- three lines, or more than 50 words in one or two
+  SELECT doc_id, i AS first, i AS last, [line] AS content FROM filled WHERE words > 50
+  UNION ALL
+  SELECT a.doc_id, a.i, b.i, [a.line, b.line] FROM filled a JOIN filled b ON a.doc_id = b.doc_id AND b.n = a.n + 1 AND a.words + b.words > 50
+  UNION ALL
+  SELECT a.doc_id, a.i, c.i, [a.line, b.line, c.line]
+  FROM filled a JOIN filled b ON a.doc_id = b.doc_id AND b.n = a.n + 1 JOIN filled c ON a.doc_id = c.doc_id AND c.n = a.n + 2
 ),
 later AS (
-  SELECT doc_id, i AS first, last FROM (
-    SELECT *, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, i) AS n FROM filled WHERE line3 IS NOT NULL
-  ) WHERE n > 1
+  SELECT doc_id, first, last FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, first) AS nth FROM runs) WHERE nth > 1
 ),
 gone AS (SELECT DISTINCT doc_id, unnest(generate_series(first, last)) AS i FROM later),
 marked AS (

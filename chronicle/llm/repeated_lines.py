@@ -3,17 +3,19 @@
 A document is the sequence of its lines that are not blank, compared without white space at their ends. A run counts if it has at
 least `run` lines or more than `LONG` words, were it one line; shorter runs, as common short lines make them, stay. Windows are
 the `run` consecutive lines at each place, and the fewer lines there that have more than `LONG` words, so that windows cover every run that
-counts. Of every window the least line hash is selected; any repeated run that counts therefore shares a selected fingerprint at the
-same place in both copies. Fingerprints that occur more than once are joined with the positions that selected them, and there
-the match is extended both ways over all lines of each window that selected the fingerprint. A window of lines that occurred
-earlier, in the order of keys and then of lines, is a match; overlapping matches of a document grow into maximal runs, which
-are deleted with the blank lines inside them. The first occurrence of every window stays.
+counts. A run that is in a window which occurred earlier, in the order of keys and then of lines, is deleted with the blank lines inside
+it; the first occurrence of every window stays.
+
+Of every window the least line hash is selected (the first of equal ones), so two copies of a window select the same line: a guaranteed fingerprint. Only
+selected positions are shuffled, with the hashes of the `run` - 1 lines on both sides. Each is joined with the first position of its fingerprint,
+and the match is extended both ways from there, line hash by line hash; an extended match that counts is a run. A window beyond its
+match may still repeat another position than the first, where a common line stands among different lines. Only such windows are written and grouped:
+what is not the first of its group is a run too. Runs of a document that overlap or touch grow into one.
 
 Words are separated by white space (ASCII), so a long line of a script without spaces is one word and counts by lines only.
 
-Hot lines and copies: positions are aggregated before they are shuffled (a count for each fingerprint, the earliest position for each
-window), and never paired with each other; joins meet one row for each fingerprint or window, so Spark may split their
-large side. Line hashes have 64 bits, and a match needs all of a window's in a row: one for a long line, or up to `run`.
+Hot lines and copies: positions are aggregated before they are shuffled (the count and first position of each fingerprint or window) and never
+paired with each other; joins meet one row for each fingerprint or window, so Spark may split their large side. Line hashes have 64 bits, and a match needs all of a window's in a row: one for a long line, or up to `run`.
 
 Defined results: null text counts no lines and stays null; empty and blank texts, and documents without a run that counts, stay as
 they are; rows that repeat key and text are one document, so they lose the same lines; keys may be null (they come first); an empty
@@ -22,6 +24,8 @@ table gives an empty table. `deduplicated` keeps all columns; the names that it
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +40,33 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def window_rows(docs: DataFrame, key: str, text: str, run: int, long: int = LONG) -> DataFrame:
-    """(_key, _print, first, last, least, at, lines): each window of a document, with its least line hash and where that is."""
+def _windows(run: int) -> list[tuple[int, int]]:
+    """(first, last) places of the windows that hold the middle of 2 * run - 1 lines."""
+    return [(a, a + n - 1) for n in range(1, run + 1) for a in range(run - n, run)]
+
+
+def _place(lines: Column, i: int, field: str) -> Column:
+    return F.get(lines, F.lit(i))[field]
+
+
+def _words(lines: Column, a: int, b: int) -> Column:
+    return sum((F.coalesce(_place(lines, i, "words"), F.lit(0)) for i in range(a, b + 1)), F.lit(0))
+
+
+def _selects(lines: Column, a: int, b: int, run: int, long: int) -> Column:
+    """Whether the window is one, and selects the middle line: less than all before it, and than or equal to all after it."""
+    middle, least = _place(lines, run - 1, "h"), F.lit(True)
+    for i in range(a, b + 1):
+        if i < run - 1:
+            least = least & (middle < _place(lines, i, "h"))
+        elif i >= run:
+            least = least & (middle <= _place(lines, i, "h"))
+    counts = F.lit(True) if b - a + 1 == run else _words(lines, a, b) > long
+    return F.coalesce(least & counts, F.lit(False))  # null where the document ends inside
+
+
+def positions(docs: DataFrame, key: str, text: str, run: int, long: int = LONG) -> DataFrame:
+    """(_key, _print, least, at, around): each selected position, with the lines around it (null beyond the document's ends)."""
     numbered = F.transform(
         lines_of(F.col("_text")), lambda line, i: F.struct(i.alias("i"), F.btrim(line, F.lit(_ENDS)).alias("line"))
     )
@@ -47,53 +76,79 @@ def window_rows(docs: DataFrame, key: str, text: str, run: int, long: int = LONG
             F.xxhash64(x["line"]).alias("h"), x["i"].alias("i"), F.size(F.split(x["line"], r"\s+")).alias("words")
         ),
     )
-    part = lambda start, n: F.slice(F.col("_lines"), start + 1, n)
-    words = lambda lines: F.aggregate(lines, F.lit(0), lambda total, x: total + x["words"])
-
-    def counts(n: int, lines: Column) -> Column:
-        return (F.size(lines) == n) & (F.lit(True) if n == run else words(lines) > long)
-
-    def windows_at(start: Column) -> Column:
-        return F.filter(
-            F.array(*[F.when(counts(n, part(start, n)), part(start, n)) for n in range(1, run + 1)]), lambda w: w.isNotNull()
-        )
-
-    windows = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_lines") - 1), windows_at))
+    beyond = F.array_repeat(F.lit(None).cast("struct<h: bigint, i: int, words: int>"), run - 1)
+    places = F.transform(
+        F.sequence(F.lit(1), F.size("_lines")), lambda i: F.slice(F.col("_wide"), i, 2 * run - 1)
+    )
+    around = F.col("around")
+    selected = reduce(lambda x, w: x | _selects(around, *w, run, long), _windows(run), F.lit(False))
     return (
         docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_print"), F.col(text).alias("_text"))
         .withColumn("_lines", hashed)
         .filter(F.size("_lines") > 0)
-        .select("_key", "_print", F.explode(windows).alias("w"))
-        .select(
-            "_key",
-            "_print",
-            F.element_at("w.i", 1).alias("first"),
-            F.element_at("w.i", -1).alias("last"),
-            F.array_min(F.transform("w", lambda x: F.struct(x["h"].alias("h"), x["i"].alias("i")))).alias("m"),
-            F.col("w.h").alias("lines"),
-        )
-        .select("_key", "_print", "first", "last", F.col("m.h").alias("least"), F.col("m.i").alias("at"), "lines")
+        .withColumn("_wide", F.concat(beyond, "_lines", beyond))
+        .select("_key", "_print", F.explode(places).alias("around"))
+        .filter(selected)
+        .select("_key", "_print", _place(around, run - 1, "h").alias("least"), _place(around, run - 1, "i").alias("at"), "around")
     )
 
 
+def _extended(later: DataFrame, run: int) -> DataFrame:
+    """Adds `a` and `b`: the places in `around` to which the match with the lines around the first position extends."""
+    around, first = F.col("around"), F.col("origin")["around"]
+    same = [F.coalesce(_place(around, i, "h") == F.get(first, F.lit(i)), F.lit(False)) for i in range(2 * run - 1)]
+    left = right = F.lit(0)
+    for i in range(run - 1):
+        left = F.when(same[i], left + 1).otherwise(F.lit(0))  # so many lines up to this one, without a gap
+        right = F.when(same[2 * run - 2 - i], right + 1).otherwise(F.lit(0))
+    return later.withColumns({"a": F.lit(run - 1) - left, "b": F.lit(run - 1) + right})
+
+
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
     """(_key, _print, first, last): maximal runs of lines, numbered from 0, that repeat earlier ones."""
-    windows, _ = kept(window_rows(docs, key, text, run), "windows")
-    # A fingerprint is selected once at a place, however many windows select it there.
-    selected = windows.select("_key", "_print", "least", "at").distinct()
-    common = selected.groupBy("least").count().filter(F.col("count") > 1).select("least")
-    candidates, _ = kept(windows.join(common, "least").drop("at"), "candidates")
+    selected, _ = kept(positions(docs, key, text, run), "positions")
+    around = F.col("around")
     # Written, since Spark splits a join's frequent key only where no aggregate shares the join's shuffle.
+    common, _ = kept(
+        selected.groupBy("least")
+        .agg(F.count("*").alias("n"), F.min(F.struct("_key", "_print", "at", F.col("around.h").alias("around"))).alias("origin"))
+        .filter("n > 1")
+        .select("least", "origin"),
+        "fingerprints",
+    )
+    place = F.struct("_key", "_print", "at")
+    later = selected.join(common, "least").filter(place != F.struct("origin._key", "origin._print", "origin.at"))
+    later, _ = kept(_extended(later, run).drop("origin", "least", "at"), "later")
+    inside = F.slice(around, F.col("a") + 1, F.col("b") - F.col("a") + 1)
+    counts = (F.size(inside) >= run) | (F.aggregate(inside, F.lit(0), lambda n, x: n + x["words"]) > LONG)
+    grown = later.filter(counts).select(
+        "_key", "_print", F.get(inside, F.lit(0))["i"].alias("first"), F.element_at(inside, -1)["i"].alias("last")
+    )
+    beyond = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    _selects(around, a, b, run, LONG) & ((F.col("a") > a) | (F.col("b") < b)),
+                    F.slice(around, a + 1, b - a + 1),
+                )
+                for a, b in _windows(run)
+            ]
+        )
+    )
+    windows = later.select("_key", "_print", F.explode(beyond).alias("w")).select(
+        "_key", "_print", F.get("w", F.lit(0))["i"].alias("first"), F.element_at("w", -1)["i"].alias("last"), F.col("w.h").alias("lines")
+    )
+    windows, _ = kept(windows, "windows")
     earliest, _ = kept(
-        candidates.groupBy("lines")
+        windows.groupBy("lines")
         .agg(F.min(F.struct("_key", "_print", "first")).alias("origin"), F.count("*").alias("n"))
         .filter("n > 1")
         .select("lines", "origin"),
         "earliest",
     )
+    others = windows.join(earliest, "lines").filter(F.struct("_key", "_print", "first") != F.col("origin"))
     matches = (
-        candidates.join(earliest, "lines")
-        .filter(F.struct("_key", "_print", "first") != F.col("origin"))
+        grown.unionByName(others.select("_key", "_print", "first", "last"))
         .groupBy("_key", "_print", "first")
         .agg(F.max("last").alias("last"))
     )

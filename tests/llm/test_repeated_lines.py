@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+from chronicle.llm import repeated_lines
 from chronicle.llm.repeated_lines import deduplicated, digest, without_repeated_lines
 
 SCHEMA = "doc_id long, text string, lang string, n_chars long, least string, first int"
@@ -45,6 +46,21 @@ def test_matches_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_only_selected_positions_and_windows_beyond_matches_are_written(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(repeated_lines, "kept", lambda df, what: written.setdefault(what, (df.persist(), "")))
+    rng = random.Random(4)
+    own = lambda i, n: [f"line {i} {j} {rng.random()}" for j in range(n)]
+    shared = own("s", 30)
+    rows = [(i, "\n".join(own(i, 20) + shared + own(i, 20))) for i in range(20)]
+    # A common line among different lines; two of its surroundings repeat each other, but not the first position's.
+    rows += [(100 + i, "\n".join([*own(i, 4), *(["before", "common", "behind"] if i in (3, 7) else [*own(i, 1), "common", *own(i, 1)]), *own(i, 4)])) for i in range(9)]
+    assert sorted(map(tuple, digest(frame(spark, rows)).collect()), key=repr) == brute(rows)
+    lines = sum(t.count("\n") + 1 for _, t in rows)
+    assert written["positions"][0].count() < 0.65 * lines
+    assert written["windows"][0].count() <= 3 * 9 + 4 * 20  # those of the common line, and at the ends of the shared passage
+
+
 def test_no_python_on_the_main_path(spark):
     plan = deduplicated(frame(spark, [(1, "a\nb\nc")]))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "MapIn"))
