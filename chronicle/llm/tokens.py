@@ -3,7 +3,7 @@
 Byte-level BPE first cuts a text into pretokens. A batch is cut, with numpy, only where a pretoken surely ends: before white
 space that follows another character, around a single newline, and between a letter and a punctuation mark. The parts repeat:
 each is known by two 64-bit polynomial hashes and its length, tokenised once and remembered by the Python worker (up to `PARTS`; the rest are
-tokenised again in each batch). The ids equal those of `encode(text, add_special_tokens=False)` on the whole text.
+tokenised again in each batch) until a task of another operator runs there. The ids equal those of `encode(text, add_special_tokens=False)` on the whole text.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-PARTS = 3_000_000  # remembered parts of a Python worker, about 40 bytes each
-BATCH_BYTES = 2 << 20  # texts are taken together up to this many bytes; a longer text is a batch of its own
+from chronicle.llm.frames import resident
+
+PARTS = 1_000_000  # remembered parts of a Python worker, about 40 bytes each
+BATCH_BYTES = 1 << 19  # texts are taken together up to this many bytes; a longer text is a batch of its own
 
 # How the vocabulary file's pre-tokeniser cuts text (fixed value of the byte-level format).
 _PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -63,9 +65,13 @@ def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-@lru_cache(maxsize=4)
 def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base modulo 2^64, and of its inverse."""
+    """Powers of the odd base modulo 2^64, and of its inverse; kept for batches of ordinary size."""
+    return _made_powers(which, BATCH_BYTES) if size <= BATCH_BYTES else _made_powers.__wrapped__(which, size)
+
+
+@lru_cache(maxsize=2)
+def _made_powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (int(_ODD[which]), pow(int(_ODD[which]), -1, 1 << 64)):
         steps = np.full(size, base, np.uint64)
@@ -76,8 +82,7 @@ def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def part_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
     """Polynomial hash of each part, from one running sum over the batch."""
-    size = 1 << max(16, int(len(data)).bit_length())
-    power, inverse = _powers(which, size)
+    power, inverse = _powers(which, len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUES[which][data] * power[: len(data)], out=total[1:])
     return (total[end] - total[begin]) * inverse[begin]
@@ -180,10 +185,9 @@ class Tokens:
         self.pool = pool
 
 
-@lru_cache(maxsize=2)
 def tokens(path: str) -> Tokens:
     """The one table of a Python worker for this vocabulary file."""
-    return Tokens(path)
+    return resident(("tokens", path), lambda: Tokens(path))
 
 
 def batches(texts: list[bytes]):

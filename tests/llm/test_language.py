@@ -4,32 +4,43 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronicle.llm import language
-from chronicle.llm.language import PIECE, UNKNOWN, Parser, identify, sample_of
+from chronicle.llm.language import PIECE, UNKNOWN, Parser, identify, learned, sample_of
 
 
 def greedy(text, sample):
-    """Phrases of a text that is parsed by longest matches with the sample; an unknown letter ends a phrase."""
-    phrases, i = 0, 0
-    while i < len(text):
-        size = 0
-        while i + size < len(text) and text[i : i + size + 1] in sample:
-            size += 1
-        phrases, i = phrases + 1, i + max(1, size)
+    """Phrases of a text that is parsed by longest matches with the sample; an unknown letter ends one and leads the next."""
+    phrases, start = 1 if text else 0, 0
+    for i in range(len(text)):
+        if text[start : i + 1] not in sample:
+            phrases, start = phrases + 1, i if text[i] in sample else i + 1
     return phrases
 
 
-def test_phrases_are_longest_matches():
+def test_phrases_are_longest_matches(monkeypatch):
     rng = random.Random(3)
     sample = "".join(rng.choice("abc") for _ in range(300))
-    parser = Parser((("x", (sample,)),))
-    for _ in range(200):
-        text = "".join(rng.choice("abc") for _ in range(rng.randint(1, PIECE)))
-        entropies, _ = parser.entropies([text])
-        assert round(entropies[0, 0] * len(text) / parser.bits[0]) == greedy(text, sample)
+    others = "".join(rng.choice("abd") for _ in range(900))
+    parser = Parser(learned((("x", (sample,)), ("y", (others,)))))
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, PIECE))) for _ in range(200)]
+    # Far more than one piece: the parse goes on from piece to piece.
+    texts += ["".join(rng.choice("abc") for _ in range(PIECE * 20 + 7)), others * 3, (sample * 5)[11:], "abcabd" * 2000, ""]
+    symbols, at = parser.alphabet.normalised(texts)
+    expected = [[greedy(t, sample), greedy(t, others)] for t in texts]
+    assert parser.phrases(symbols, at).tolist() == expected
+    monkeypatch.setattr(language, "BATCH", PIECE * 2 + 3)
+    assert parser.phrases(symbols, at).tolist() == expected
+
+
+def test_every_label_and_letter_is_learned():
+    names = [f"l{i:03}" for i in range(90)]
+    # Each language has letters of its own from a large script; the sample holds 2,700 letters.
+    sample = tuple((n, (" ".join(chr(0x4E00 + 30 * i + (7 * j) % 30) + chr(0x4E00 + 30 * i + (11 * j) % 30) for j in range(60)),)) for i, n in enumerate(names))
+    parser = Parser(learned(sample))
+    assert [p for p, _ in parser.predict([texts[0] for _, texts in sample])] == names
 
 
 def test_whole_texts_count(spark):
-    parser = Parser((("en", ("the cat sat on the mat " * 20,)), ("xx", ("zq wv kj pf " * 20,))))
+    parser = Parser(learned((("en", ("the cat sat on the mat " * 20,)), ("xx", ("zq wv kj pf " * 20,)))))
     late = "zq wv " * 5 + "the cat sat on the mat " * 4000
     assert parser.predict([late])[0][0] == "en"
     assert parser.predict(["THE CAT", "zq wv", None, "", " 12 ?!", "日本"])[:5] == [
@@ -59,6 +70,13 @@ def test_learns_only_from_labelled_rows_and_predicts_all(spark):
     assert {r["lang_pred"] for r in language.digest(unlabelled).collect()} == {UNKNOWN}
 
 
+def test_rows_without_a_key_share_one_draw(spark):
+    rows = [(None, f"der Garten Nummer {i}", "de") for i in range(900)] + [(i, "the house is here", "en") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = dict(sample_of(docs, rows=5))
+    assert len(found["en"]) == 5 and len(found.get("de", ())) in (0, 5)
+
+
 def test_sample_is_bounded(spark):
     docs = spark.range(3000).select(
         F.col("id").alias("doc_id"), F.repeat(F.lit("abc def "), 500).alias("text"), F.lit("en").alias("lang")
