@@ -13,6 +13,9 @@ stands. A text is cut into records: runs of starts whose strings have the same n
 A name with more than `crowd` different records, as a passage in a great part of all documents makes it, is not sorted in one task:
 its strings become rows, counted by a 128-bit digest before and after the shuffle, which is exact in the same way.
 
+Shorter passages, which the rule leaves in place, are told in `n_shared`: how many named grams of `SHARED` bytes of a text stand anywhere else
+too (by 64-bit hashes). The least gram in each `REACH` bytes names them, so a text that shares any string of `REACH` bytes has one.
+
 Defined results: null and empty texts, and those shorter than `length`, lose nothing; matches never cross documents; a string may overlap its own
 repeat; strings are judged on the input. Rows that repeat key and text are documents of their own and so repeat each other. An
 empty table gives an empty table. Only key and text are read, so other columns cannot clash.
@@ -32,8 +35,10 @@ from pyspark.sql import functions as F
 from chronicle.llm.frames import as_bytes, dropped, keyed, kept
 
 LENGTH, GRAM = 400, 200
+SHARED, REACH = 150, 250  # bytes of the grams that `n_shared` counts, and of the strings that surely hold one
 CROWD = 4096  # different records of one name that are sorted together
 FREQUENT, SALTS = 1000, 32  # records of one name beyond which their rows are salted, and by how much
+POWERS = 1 << 18  # longest text for which a Python worker keeps the powers
 TOGETHER = 400_000  # suffixes sorted at a time, or those of one name
 
 _BASE = 0x9E3779B97F4A7C15
@@ -41,9 +46,13 @@ _VALUES = np.random.default_rng(23).integers(1, 1 << 63, 256, dtype=np.uint64)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-@lru_cache(maxsize=3)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base modulo 2^64, and of its inverse."""
+    """Powers of the base modulo 2^64, and of its inverse; kept up to `POWERS`."""
+    return _made_powers(POWERS) if size <= POWERS else _made_powers.__wrapped__(size)
+
+
+@lru_cache(maxsize=1)
+def _made_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
         steps = np.full(size, base, np.uint64)
@@ -56,7 +65,7 @@ class Hashes:
     """Prefix polynomial hashes of bytes: the hash of any substring in constant time."""
 
     def __init__(self, data: np.ndarray):
-        up, self.down = _powers(1 << max(18, int(len(data) + 1).bit_length()))
+        up, self.down = _powers(len(data) + 1)
         self.total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_VALUES[data] * up[: len(data)], out=self.total[1:])
 
@@ -361,23 +370,52 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     return spans
 
 
+def shared_grams(docs: DataFrame, gram: int = SHARED, reach: int = REACH) -> DataFrame:
+    """(_key, _print, n_shared) of the texts with named grams that stand anywhere else. `docs`: (_key, _print, _text)."""
+    kind = docs.schema["_key"].dataType.simpleString()
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 512):
+                rows, names = [], []
+                for i, text in enumerate(as_bytes(batch.column(2).slice(begin, 512))):
+                    if text is not None and len(text) >= reach:
+                        names.append(records_of(text, reach, gram)[0])
+                        rows.append(np.full(len(names[-1]), begin + i))
+                if rows:
+                    which = pa.array(np.concatenate(rows))
+                    found = pa.array(np.concatenate(names).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), found], ["_key", "_print", "name"])
+
+    grams, stage = kept(docs.mapInArrow(named, f"_key: {kind}, _print: bigint, name: bigint"), "grams")
+    often, _ = kept(grams.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"), "names")
+    found, _ = kept(grams.join(often, "name").groupBy("_key", "_print").agg(F.count("*").alias("n_shared")), "shared")
+    dropped(docs.sparkSession, stage)
+    return found
+
+
 def deduplicated(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, key: str = "doc_id", text: str = "text",
     with_kept: bool = False,
 ) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept]); spans are byte places, kept the remaining bytes."""
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, n_shared[, spans, kept]); spans are byte places, kept the remaining bytes."""
     source = keyed(docs, key, _text=text).select("_key", F.xxhash64("_text").alias("_print"), "_text")
+    shared = shared_grams(source)
     spans = repeated_spans(source, length, gram, crowd)
-    lists = spans.groupBy("_key", "_print").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
+    span_of = F.struct("begin", "end")
+    both = spans.select("_key", "_print", span_of.alias("span"), F.lit(0).cast("long").alias("n_shared")).unionByName(
+        shared.withColumn("span", F.lit(None).cast("struct<begin: bigint, end: bigint>"))
+    )
+    lists = both.groupBy("_key", "_print").agg(F.collect_list("span").alias("_spans"), F.max("n_shared").alias("n_shared"))
     lists = lists.withColumnsRenamed({"_key": "_of", "_print": "_of_print"})
-    joined = source.join(lists, _same(source, lists), "left").select("_key", "_text", "_spans")
-    names = ["_key", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["spans", "kept"] * with_kept
+    joined = source.join(lists, _same(source, lists), "left").select("_key", "_text", "_spans", "n_shared")
+    names = ["_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"] + ["spans", "kept"] * with_kept
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for data, found in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+            for data, found, n_shared in zip(as_bytes(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3))):
                 data, runs = data or b"", []
                 for begin, end in sorted((s["begin"], s["end"]) for s in found or []):
                     if runs and begin <= runs[-1][1]:
@@ -386,13 +424,13 @@ def deduplicated(
                         runs.append([begin, end])
                 edges = [0, *(x for run in runs for x in run), len(data)]
                 left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])) if runs else data
-                row = (len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest())
+                row = (len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), n_shared or 0)
                 rows.append(row + ([{"begin": a, "end": b} for a, b in runs], left) * with_kept)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.list_(span), pa.binary()] * with_kept
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()] + [pa.list_(span), pa.binary()] * with_kept
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
     kind = source.schema["_key"].dataType.simpleString()
-    schema = f"_key: {kind}, n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept_sha256: string"
+    schema = f"_key: {kind}, n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept_sha256: string, n_shared: bigint"
     schema += ", spans: array<struct<begin: bigint, end: bigint>>, kept: binary" * with_kept
     return joined.mapInArrow(cut, schema).withColumnRenamed("_key", key)
