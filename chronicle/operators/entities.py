@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from chronicle.functions.hashing import content_hash
 from chronicle.functions.text import name_tokens, normalise_name, normalise_phone
+from chronicle.operators import rulings as R
 from chronicle.operators.merging import merge_component
 from chronicle.session import staged
 
@@ -224,6 +225,8 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def cluster_identities(identities: DataFrame, decisions: DataFrame) -> DataFrame:
     """(identity, cluster): confirmed merges, then equal names and phones, unless refused.
 
+    `decisions` are rulings, or pairs (see `rulings`).
+
     Connected parts without a refusal are clusters as they are. A part in which something refuses
     (a rejected pair, or two phone numbers of one source) is merged in the order of its pairs. The
     identities that cannot change that order's outcome are settled before: see `_settled`.
@@ -232,9 +235,8 @@ def cluster_identities(identities: DataFrame, decisions: DataFrame) -> DataFrame
     phones = staged(identity_phones(identities))
     nodes = phones.select(F.col("identity").alias("node")).distinct()
     groups = staged(equal_groups(forms, phones, rare_tokens(forms, identity_total(identities))))
-    ruled = _known(decisions, nodes)
-    merges = ruled.filter("decision = 'merge'").select("a", "b")
-    rejects = ruled.filter("decision = 'reject'").select("a", "b")
+    ruled = staged(R.known(R.effective(R.as_rulings(decisions)), nodes))
+    merges, rejects = staged(R.merges(ruled)), R.rejects(ruled)
     heads = groups.groupBy("grp").agg(F.min("identity").alias("head"))
     star = groups.join(heads, "grp").filter("identity <> head").select(
         F.col("head").alias("a"), F.col("identity").alias("b")
@@ -259,15 +261,6 @@ def cluster_identities(identities: DataFrame, decisions: DataFrame) -> DataFrame
     return reduce(DataFrame.unionByName, [calm, alone, merged, joined])
 
 
-def _known(decisions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Decisions about identities that exist."""
-    return staged(
-        decisions.select("a", "b", "decision")
-        .join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
-        .join(nodes.select(F.col("node").alias("b")), "b", "left_semi")
-    )
-
-
 def _refusing(labels: DataFrame, phones: DataFrame, rejects: DataFrame) -> DataFrame:
     """(component, has_rejects) of the parts in which some merge is refused."""
     clash = (
@@ -278,10 +271,8 @@ def _refusing(labels: DataFrame, phones: DataFrame, rejects: DataFrame) -> DataF
         .filter("clash")
         .select("component", F.lit(False).alias("has_rejects"))
     )
-    a = labels.select(F.col("identity").alias("a"), "component")
-    b = labels.select(F.col("identity").alias("b"), F.col("component").alias("other"))
-    inside = rejects.join(a, "a").join(b, "b").filter("component = other")
-    inside = inside.select("component", F.lit(True).alias("has_rejects"))
+    inside = rejects.join(labels, "identity").groupBy("component", "ruling").agg((F.min("side") != F.max("side")).alias("both"))
+    inside = inside.filter("both").select("component", F.lit(True).alias("has_rejects"))
     return clash.unionByName(inside).groupBy("component").agg(F.max("has_rejects").alias("has_rejects"))
 
 
@@ -365,11 +356,12 @@ def _merge_in_order(
     ).unionByName(
         part.join(phones, "identity").select("component", F.lit("source").alias("what"), F.col("identity").alias("a"), F.col("source").alias("b"), F.col("phone").alias("c"))
     )
-    for rows, what in ((merges, "merge"), (rejects, "reject")):
-        found = rows.join(part.withColumnRenamed("identity", "a"), "a")
-        facts = facts.unionByName(
-            found.select("component", F.lit(what).alias("what"), "a", "b", F.lit(None).cast("string").alias("c"))
-        )
+    confirmed = merges.join(part.withColumnRenamed("identity", "a"), "a")
+    facts = facts.unionByName(
+        confirmed.select("component", F.lit("merge").alias("what"), "a", "b", F.lit(None).cast("string").alias("c"))
+    ).unionByName(
+        rejects.join(part, "identity").select("component", F.lit("reject").alias("what"), F.col("identity").alias("a"), F.col("ruling").alias("b"), F.col("side").alias("c"))
+    )
     return facts.groupBy("component").applyInPandas(_merge_part, _CLUSTER)
 
 
@@ -424,15 +416,17 @@ def proposals(identities: DataFrame, clusters: DataFrame, decisions: DataFrame)
         pairs.select(*names).join(counts[0], "name_a").join(counts[1], ["name_b", "cluster"])
         .groupBy(*names).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("inside"))
     )
-    refused = decisions.filter("decision = 'reject'").select("a", "b").distinct()
-    turned = refused.unionByName(refused.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # A rejection's sides are counted by name, and only for the names of a pair.
+    refused = R.rejects(R.effective(R.as_rulings(decisions))).join(named, "identity")
+    refused = staged(refused.groupBy("ruling", "side", "normal", "cluster").agg(F.count("*").alias("n")))
     ends = [
-        named.select(F.col("identity").alias(end), F.col("normal").alias("name_" + end), F.col("cluster").alias("cluster_" + end))
+        refused.select("ruling", *(F.col(c).alias(f"{c}_{end}") for c in ("side", "cluster", "n")), F.col("normal").alias(f"name_{end}"))
         for end in ("a", "b")
     ]
     rejected = (
-        turned.join(ends[0], "a").join(ends[1], "b").filter("cluster_a <> cluster_b AND name_a <= name_b")
-        .groupBy(*names).agg(F.count("*").alias("rejected"))
+        pairs.select(*names).join(ends[0], "name_a").join(ends[1], ["name_b", "ruling"])
+        .filter("side_a <> side_b AND cluster_a <> cluster_b")
+        .groupBy(*names).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("rejected"))
     )
     met = F.col("n_a") * F.col("n_b") - F.coalesce("inside", F.lit(0)) - F.coalesce("rejected", F.lit(0))
     forward = F.when(F.col("first_a") <= F.col("last_b"), F.col("score_ab"))
@@ -478,7 +472,8 @@ def proposals_for(
             "score",
         )
     )
-    return found.join(decisions.filter("decision = 'reject'").select("a", "b"), ["a", "b"], "left_anti")
+    found = staged(found)
+    return found.join(R.rejected(found, R.rejects(R.effective(R.as_rulings(decisions)))), ["a", "b"], "left_anti")
 
 
 # ---- contacts ---------------------------------------------------------------------------------
@@ -684,8 +679,8 @@ def _reassigned(rows: DataFrame, target: Column, columns: list[str]) -> DataFram
     return rows.withColumn("contact_id", F.col("_target")).select(*columns, "changed")
 
 
-def decide(contacts: DataFrame, decisions: DataFrame, a: str, b: str, decision: str, at: Column) -> DataFrame:
-    """`decisions` with every pair across two contacts or identities ruled; the last rule counts."""
+def decide(contacts: DataFrame, rulings: DataFrame, a: str, b: str, decision: str, at: Column) -> DataFrame:
+    """`rulings` with one more, on two contacts or identities; it covers every pair across them."""
     if decision not in ("merge", "reject"):
         raise ValueError("decision must be merge or reject")
     living = contacts.filter("merged_into IS NULL")
@@ -702,13 +697,16 @@ def decide(contacts: DataFrame, decisions: DataFrame, a: str, b: str, decision:
     left, right = keys(a), keys(b)
     if not left.join(right, "key", "left_semi").isEmpty():
         raise ValueError("choose two different contacts or identities")
-    # The user rules on two contacts: every pair across them is stored.
-    pairs = left.withColumnRenamed("key", "x").join(right.withColumnRenamed("key", "y"), F.lit(True))
-    ruled = pairs.select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
-        F.lit(decision).alias("decision"), at.alias("decided_at"),
-    )
-    return latest_decisions(decisions.unionByName(ruled))
+    return staged(R.as_rulings(rulings).unionByName(R.rule(left, right, (a, b), decision, at)))
+
+
+def decide_and_resolve(
+    identities: DataFrame, contacts: DataFrame, rulings: DataFrame, a: str, b: str, decision: str, at: Column
+) -> tuple[DataFrame, DataFrame]:
+    """(rulings, contacts) after a decision: who is who is resolved again, and contacts keep their ids where they can."""
+    rulings = decide(contacts, rulings, a, b, decision, at)
+    clusters = staged(cluster_identities(identities, rulings))
+    return rulings, staged(build_contacts(identities, clusters, contacts, at))
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:

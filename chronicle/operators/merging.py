@@ -7,17 +7,16 @@ from collections.abc import Iterable
 
 
 class _Clusters:
-    """Disjoint sets with the phones each holds per source, and the rejected pairs across them."""
+    """Disjoint sets with the phones each holds per source, and the sides of rejections it holds."""
 
-    def __init__(self, phones: dict[str, dict[str, str]], rejected: Iterable[tuple[str, str]]) -> None:
+    def __init__(self, phones: dict[str, dict[str, str]], rejected: Iterable[tuple[str, str, str]]) -> None:
         self.parent = {member: member for member in phones}
         self.size = dict.fromkeys(phones, 1)
         self.phones = {m: {s: {p} for s, p in held.items() if p} for m, held in phones.items()}
-        self.enemies: dict[str, set[str]] = defaultdict(set)
-        for a, b in rejected:
-            if a in phones and b in phones:
-                self.enemies[a].add(b)
-                self.enemies[b].add(a)
+        self.sides: dict[str, dict[str, set[str]]] = {}
+        for member, ruling, side in rejected:
+            if member in phones:
+                self.sides.setdefault(member, {}).setdefault(ruling, set()).add(side)
 
     def find(self, member: str) -> str:
         root = member
@@ -33,8 +32,8 @@ class _Clusters:
             held, other = other, held
         if any(len(held[s] | other[s]) > 1 for s in held if s in other):
             return True
-        few, many = sorted((a, b), key=lambda root: len(self.enemies[root]))
-        return any(self.find(enemy) == many for enemy in self.enemies[few])
+        few, many = sorted((self.sides.get(a, {}), self.sides.get(b, {})), key=len)
+        return any(len(few[r] | many[r]) > 1 for r in few if r in many)
 
     def unite(self, a: str, b: str) -> None:
         if self.size[a] < self.size[b]:
@@ -43,14 +42,15 @@ class _Clusters:
         self.size[a] += self.size[b]
         for source, held in self.phones.pop(b).items():
             self.phones[a].setdefault(source, set()).update(held)
-        self.enemies[a] |= self.enemies.pop(b, set())
+        for ruling, sides in self.sides.pop(b, {}).items():
+            self.sides.setdefault(a, {}).setdefault(ruling, set()).update(sides)
 
 
 def merge_component(facts: list[tuple[str, str, str, str | None]]) -> dict[str, str]:
     """identity -> smallest identity of its cluster.
 
     Facts are ("group", identity, group, spelling), ("source", identity, source, phone),
-    ("merge", a, b, None) and ("reject", a, b, None). Confirmed merges come first and are never
+    ("merge", a, b, None) and ("reject", identity, ruling, side). Confirmed merges come first and are never
     refused. Then pairs of equal spelling or phone are tried, then pairs of equal words, both by
     (a, b). Once a pair is refused, everybody in its two clusters stays apart, so a group only
     keeps one list of members that are still outside, and never all of its pairs.
@@ -68,21 +68,20 @@ def merge_component(facts: list[tuple[str, str, str, str | None]]) -> dict[str,
         elif what == "merge":
             confirmed.append((a, b))
         else:
-            rejected.append((a, b))
+            rejected.append((a, b, c))
     clusters = _Clusters(phones, rejected)
     for a, b in sorted(confirmed):
         if a in phones and b in phones and clusters.find(a) != clusters.find(b):
             clusters.unite(clusters.find(a), clusters.find(b))
-    banned = {frozenset(pair) for pair in rejected}
     for groups in (exact, loose):
-        _merge_level(clusters, groups, banned)
+        _merge_level(clusters, groups)
     smallest: dict[str, str] = {}
     for member in sorted(phones):
         smallest.setdefault(clusters.find(member), member)
     return {member: smallest[clusters.find(member)] for member in phones}
 
 
-def _merge_level(clusters: _Clusters, groups: dict, banned: set[frozenset]) -> None:
+def _merge_level(clusters: _Clusters, groups: dict) -> None:
     """Try the pairs of one score, by (a, b)."""
     outside = {name: sorted(members) for name, members in groups.items() if len(members) > 1}
     mine = defaultdict(list)
@@ -93,7 +92,7 @@ def _merge_level(clusters: _Clusters, groups: dict, banned: set[frozenset]) -> N
         partners = sorted({b for name in mine[a] for b in outside[name] if b > a})
         for b in partners:
             x, y = clusters.find(a), clusters.find(b)
-            if x != y and frozenset((a, b)) not in banned and not clusters.refuses(x, y):
+            if x != y and not clusters.refuses(x, y):
                 clusters.unite(x, y)
         root = clusters.find(a)
         for name in mine[a]:

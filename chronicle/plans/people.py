@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronicle.operators import entities
@@ -268,6 +269,43 @@ register(
 )
 
 
+def _decided(s, d):
+    """Customers named after their nation; two contacts are merged, then two identities of a third are told apart."""
+    key = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
+    identities = A.table(s, d, "customer").select(
+        key.alias("identity"), F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("name"), F.lit("crm").alias("source"),
+        F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("preferred_n"), F.col("c_nationkey").alias("nation"),
+    )
+    rank = F.row_number().over(Window.partitionBy("nation").orderBy("identity"))
+    of: dict[int, list[str]] = {}
+    for row in identities.filter("nation < 3").withColumn("rank", rank).filter("rank <= 2").orderBy("nation", "rank").collect():
+        of.setdefault(row["nation"], []).append(row["identity"])
+    identities = staged(identities.drop("nation"))
+    now = [F.lit(f"2024-01-0{i} 00:00:00").cast("timestamp") for i in (1, 2, 3)]
+    heads = identities.groupBy("name").agg(F.min("identity").alias("cluster"))
+    clusters = identities.join(heads, "name").select("identity", "cluster")
+    contacts = staged(entities.build_contacts(identities, clusters, None, now[0]))
+    contact = [contacts.filter(F.array_contains("identities", of[n][0])).first()["id"] for n in (0, 1)]
+    rulings = entities.decide(contacts, _nobody(s), *contact, "merge", now[1])
+    _, contacts = entities.decide_and_resolve(identities, contacts, rulings, *of[2], "reject", now[2])
+    return contacts.filter("merged_into IS NULL").select(
+        F.element_at("identities", 1).alias("first"), F.size("identities").cast("bigint").alias("identities"),
+        (F.col("created_at") == now[0]).alias("kept"),
+    )
+
+
+register(
+    "decide",
+    _decided,
+    """SELECT min(k) AS first, count(*) AS identities, part <> 'apart' AS kept FROM (
+        SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS k,
+            CASE WHEN c_nationkey = 1 THEN '0'
+                 WHEN c_nationkey = 2 AND row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) = 2 THEN 'apart'
+                 ELSE CAST(c_nationkey AS VARCHAR) END AS part
+        FROM customer) GROUP BY part""",
+)
+
+
 def _links(s, d):
     """Chains: every order is linked to the one whose key is half of its own, within a customer group."""
     orders = A.table(s, d, "orders").select(F.col("o_orderkey").alias("k"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronicle.functions import text
-from chronicle.operators import entities
+from chronicle.operators import entities, rulings
 
 IDENTITIES = "identity string, name string, source string, n bigint, preferred_n bigint"
 DECISIONS = "a string, b string, decision string"
@@ -153,7 +153,8 @@ def test_ordered_merge_on_many_random_parts():
                 tokens = " ".join(sorted(set(spelled.split())))
                 digits = phone(name) or ""
                 facts.append(("group", key, f"name:{tokens}\x1f{digits}", "" if digits else spelled))
-        facts += [(what, a, b, None) for (a, b), what in decisions.items()]
+        facts += [(what, a, b, None) for (a, b), what in decisions.items() if what == "merge"]
+        facts += [(what, k, f"{a}|{b}", s) for (a, b), what in decisions.items() if what == "reject" for s, k in (("a", a), ("b", b))]
         # Names that are phone numbers in two spellings meet through rare tokens only.
         if any(phone(n) for own in names.values() for n in own):
             continue
@@ -249,14 +250,82 @@ def test_decisions_cover_both_contacts(spark, rows):
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")
     ruled = entities.decide(contacts, empty, "B", "A", "reject", now)
     later = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    assert ruled.count() == 3
     ruled = entities.decide(contacts, ruled, "p", "B", "merge", later)
-    assert sorted(rows(ruled, "a", "b", "decision")) == [("p", "r", "merge"), ("q", "r", "reject")]
+    assert sorted(rows(rulings.pairs_of(ruled), "a", "b", "decision")) == [("p", "r", "merge"), ("q", "r", "reject")]
+    assert sorted(rows(rulings.pairs_of(rulings.effective(ruled)), "a", "b", "decision")) == [("p", "r", "merge"), ("q", "r", "reject")]
     with pytest.raises(ValueError):
         entities.decide(contacts, empty, "A", "p", "merge", now)
     with pytest.raises(ValueError):
         entities.decide(contacts, empty, "A", "nobody", "merge", now)
 
 
+MEMBERS = "ruling string, side string, identity string, decision string, decided_at timestamp"
+
+
+def products(seed, keys, count=7):
+    """Random rulings between sets, and what the last one says of each pair."""
+    rng, made, last = random.Random(seed), [], {}
+    for i in range(count):
+        left = rng.sample(keys, rng.choice([1, 1, 2, 4]))
+        right = rng.sample([k for k in keys if k not in left], rng.choice([1, 2, 3]))
+        what = rng.choice(["merge", "reject", "reject"])
+        at = f"2024-01-{rng.choice([i, i, 3]) + 1:02} 00:00:00"
+        made.append((f"r{i}", left, right, what, at))
+        for x in left:
+            for y in right:
+                pair = (min(x, y), max(x, y))
+                last[pair] = max(last.get(pair, ("", "")), (at, what))
+    return made, {p: what for p, (_, what) in last.items()}
+
+
+def ruled_frame(spark, made):
+    from datetime import datetime
+
+    rows = [
+        (r, side, k, what, datetime.fromisoformat(at))
+        for r, left, right, what, at in made for side, own in (("a", left), ("b", right)) for k in own
+    ]
+    return spark.createDataFrame(rows, MEMBERS)
+
+
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_rulings_between_sets_equal_all_their_pairs(spark, seed):
+    names, sources, _ = world(seed, rejects=False)
+    made, last = products(seed, sorted(names)[:12] + ["nobody"])
+    ruled = ruled_frame(spark, made)
+    found = {(r["a"], r["b"]): r["decision"] for r in rulings.pairs_of(rulings.effective(ruled)).collect()}
+    assert found == last
+    identities, _ = frames(spark, names, sources, {})
+    living = {p: what for p, what in last.items() if set(p) <= set(names)}
+    expected, _ = brute_force(names, sources, living)
+    same_partition(dict(map(tuple, entities.cluster_identities(identities, ruled).collect())), expected)
+
+
+def test_a_ruling_between_large_contacts_is_never_multiplied(spark):
+    size = 3000
+    sides = [spark.range(size).select(F.concat(F.lit(p), F.lpad(F.col("id").cast("string"), 5, "0")).alias("key")) for p in "xy"]
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    one = rulings.rule(*sides, ("X", "Y"), "reject", at)
+    first = [side.filter(F.col("key").endswith("00000")) for side in sides]
+    late = rulings.rule(*first, ("x", "y"), "merge", F.lit("2024-01-02 00:00:00").cast("timestamp"))
+    assert one.count() == 2 * size and rulings.effective(one).count() == 2 * size
+    assert rulings.merges(one.withColumn("decision", F.lit("merge"))).count() <= 2 * size
+    # A later ruling on one of its nine million pairs cuts it into three.
+    cut = rulings.effective(one.unionByName(late))
+    assert cut.count() <= 4 * size + 2 and cut.select("ruling").distinct().count() == 4
+    assert rulings.rejected(spark.createDataFrame([("x00000", "y00000"), ("x00000", "y00001")], "a string, b string"), rulings.rejects(cut)).collect() == [("x00000", "y00001")]
+    # Asked pairs are answered from the sides.
+    asked = spark.createDataFrame([("x00001", "y02999"), ("x00001", "x00002"), ("y00003", "x00004")], "a string, b string")
+    assert set(map(tuple, rulings.rejected(asked, rulings.rejects(one)).collect())) == {("x00001", "y02999"), ("y00003", "x00004")}
+    identities = sides[0].unionByName(sides[1]).select(
+        F.col("key").alias("identity"), F.lit("Ana Popescu").alias("name"), F.lit("mail").alias("source"),
+        F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("preferred_n"),
+    )
+    found = entities.cluster_identities(identities, one).groupBy("cluster").count().collect()
+    assert sorted(map(tuple, found)) == [("x00000", size), ("y00000", size)]
+
+
 def test_rejected_pairs_are_not_proposed_again(spark, rows):
     identities = spark.createDataFrame(
         [(k, n, "mail", 1, 0) for k, n in (("p", "Rada Ilinca Toma"), ("q", "Rada Ilinca"), ("r", "Rada Ilinca"))]
