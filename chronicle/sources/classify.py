@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,13 +145,16 @@ def export_fingerprint(spark: SparkSession, root: str) -> DataFrame:
 
 
 def fingerprint(files: DataFrame, root: str) -> DataFrame:
-    """The hash needs one ordered text: a file list of one export, not its contents."""
-    entry = F.struct(
-        relative_path(F.col("path"), root).alias("name"), F.col("length").alias("size")
-    )
-    listed = F.array_sort(F.collect_list(entry))
-    text = F.array_join(
-        F.transform(listed, lambda e: F.concat(e["name"], F.lit("\x1f"), e["size"].cast("string"), F.lit("\x1e"))),
-        "",
-    )
-    return files.agg(F.sha2(text, 256).alias("fingerprint"), F.count("*").alias("files"))
+    """The hash of one ordered text: sorted names stream through one task, which holds the state of the hash and no list of them."""
+    entries = files.select(relative_path(F.col("path"), root).alias("name"), F.col("length").cast("string").alias("size"))
+    ordered = entries.repartition(1).sortWithinPartitions("name", F.col("size").cast("long"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, count = hashlib.sha256(), 0
+        for batch in batches:
+            count += batch.num_rows
+            for name, size in zip(*(c.to_pylist() for c in batch.columns)):
+                digest.update(f"{name}\x1f{size}\x1e".encode())
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()]), pa.array([count], pa.int64())], ["fingerprint", "files"])
+
+    return ordered.mapInArrow(hashed, "fingerprint: string, files: bigint")
