@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from dataclasses import dataclass, field
 from functools import reduce
@@ -14,7 +15,7 @@ from chronicle.functions.hashing import content_hash, iso_instant
 from chronicle.functions.joins import join_facts
 from chronicle.functions.text import normalise_merchant
 from chronicle.session import staged
-from chronicle.sources.lines import ORDER, join_pieces, number_lines, occurrences
+from chronicle.sources.lines import ORDER, decoded, join_pieces, number_lines, occurrences
 
 # strptime fields and their datetime pattern.
 _TIME_FIELDS = {"%Y": "yyyy", "%y": "yy", "%m": "M", "%d": "d", "%H": "H", "%M": "m", "%S": "s"}
@@ -52,6 +53,7 @@ class BankMapping:
     thousands: str = ""
     skip_rows: int = 0
     footer: str | None = None
+    encoding: str = "UTF-8"  # of its files; one in which a newline is a byte of its own
 
     def __post_init__(self) -> None:
         if bool(self.amount) == bool(self.debit and self.credit):
@@ -60,6 +62,8 @@ class BankMapping:
             raise ValueError(f"{self.id}: give currency or fixed_currency")
         if self.thousands == self.decimal:
             raise ValueError(f"{self.id}: thousands must differ from decimal")
+        if codecs.lookup(self.encoding).name.startswith(("utf-16", "utf-32")):
+            raise ValueError(f"{self.id}: convert {self.encoding} before, lines are cut at single bytes")
         if self.counterparty and self.counterparty_regex:
             raise ValueError(f"{self.id}: give counterparty or counterparty_regex")
 
@@ -188,7 +192,7 @@ def choose_mapping(
     top = numbered.filter((F.col("block") < 65_536) & (F.col("line_no") <= last))
     chosen = []
     for rank, mapping in enumerate(mappings):
-        header = _headers(split_csv(F.col("line"), mapping.delimiter))
+        header = _headers(split_csv(decoded(F.col("line"), mapping.encoding), mapping.delimiter))
         wanted = F.array(*(F.lit(h.strip().lower()) for h in mapping.required_headers))
         chosen.append(
             top.filter(F.col("line_no") == mapping.skip_rows)
@@ -259,6 +263,7 @@ def _of_mapping(
 ) -> tuple[DataFrame, DataFrame]:
     lines = numbered.filter(F.col("line_no") > mapping.skip_rows)
     lines = join_facts(lines, files.select("path"), "path", "left_semi")
+    lines = lines.withColumn("line", decoded(F.col("line"), mapping.encoding))
     records = csv_records(lines).filter(F.col("text") != "")
     records = records.withColumn("fields", split_csv(F.col("text"), mapping.delimiter))
     if mapping.footer:

@@ -70,8 +70,8 @@ def read_lines(
         rows = rows.unionByName(_read_hidden(spark, [paths] if root else list(paths), glob, exclude, separator))
     rows = rows.withColumn("path", relative_path(F.col("path"), root))
     line = F.col("line")
-    if encoding.upper() not in ("UTF-8", "UTF-8-SIG"):
-        return rows.withColumn("line", _decoder(encoding)(line.cast("binary")))
+    if (text := decoded(line, encoding)) is not line:
+        return rows.withColumn("line", text)
     # Looking at bytes keeps lines that are not valid UTF-8 as they are.
     return rows.withColumn("line", F.when(line.startswith(BOM), line.substr(F.lit(2), F.length(line))).otherwise(line))
 
@@ -153,6 +153,19 @@ def _lines_of_range(stream, start: int, end: int, cut: bytes, chunk: int = 1 <<
             return
 
 
+_JVM_CHARSETS = {"utf8": "UTF-8", "utf8sig": "UTF-8", "ascii": "US-ASCII", "usascii": "US-ASCII", "latin1": "ISO-8859-1", "iso88591": "ISO-8859-1"}
+
+
+def decoded(line: Column, encoding: str) -> Column:
+    """A line of raw bytes as text: in the JVM for the common encodings, else with a Python codec."""
+    plain = re.sub(r"[-_ ]", "", encoding.lower())
+    if _JVM_CHARSETS.get(plain) == "UTF-8":
+        return line
+    if plain in _JVM_CHARSETS:
+        return F.decode(line.cast("binary"), _JVM_CHARSETS[plain])
+    return _decoder(encoding)(line.cast("binary"))
+
+
 def _decoder(encoding: str):
     """The text source hands over raw bytes; decode them with a Python codec."""
 

@@ -295,6 +295,26 @@ def test_user_mapping_with_inverted_sign(spark, tmp_path, rows):
     assert rows(parsed, F.col("amount").cast("string"), "account", "counterparty") == [("-13.00", "mine:me", "Luma")]
 
 
+def test_mappings_in_other_encodings(spark, tmp_path, rows):
+    def mapping(name, header, encoding):
+        return bank.BankMapping(
+            id=name, required_headers=(header, "Betrag"), ts=header, ts_format="%d.%m.%Y", description="Text", amount="Betrag",
+            fixed_currency="EUR", account=name, delimiter=";", decimal=",", encoding=encoding,
+        )
+
+    own = (mapping("latin", "Tag-für-Tag", "latin-1"), mapping("cyrillic", "День", "cp1251"))
+    write(tmp_path, "u.csv", "Date;x\n")
+    (tmp_path / "l.csv").write_bytes("Tag-für-Tag;Betrag;Text\n05.01.2024;-3,50;Café Müller\n".encode("latin-1"))
+    (tmp_path / "c.csv").write_bytes("День;Betrag;Text\n06.01.2024;-4,00;Кофе\n".encode("cp1251"))
+    parsed, refused = bank.transactions_from_csv(lines.read_lines(spark, str(tmp_path)), mappings=(*bank.MAPPINGS, *own))
+    assert sorted(rows(parsed, "mapping", "merchant_raw", F.col("amount").cast("string"))) == [
+        ("cyrillic", "Кофе", "-4.00"), ("latin", "Café Müller", "-3.50"),
+    ]
+    assert refused.count() == 0
+    with pytest.raises(ValueError):
+        mapping("wide", "Date", "utf-16")
+
+
 def test_shell_history(spark, tmp_path, rows):
     write(tmp_path, ".zsh_history", ": 1746300010:0;make \\\n  all\nstray \\\n: 1746300020:4;echo më\n: 7:0;  \n")
     folder = write(tmp_path, "bash", "no clock yet\n#1746300015\nif true; then\n  date\nfi\n#1704067200\ngit status\n#3\n")
