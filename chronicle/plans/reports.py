@@ -7,13 +7,13 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from chronicle.operators import ingest, services
+from chronicle.operators import ingest, money, services
 from chronicle.params import Params
 from chronicle.plans import adapters as A
 from chronicle.plans import exports as X
 from chronicle.plans import registry, yearly
 from chronicle.plans.ingestion import _STATEMENTS
-from chronicle.plans.insights import _BRANDS, _INCOME, _SPEND
+from chronicle.plans.insights import _INCOME, _SPEND
 from chronicle.plans.query import register, rounded
 from chronicle.session import checkpoint_folder
 from chronicle.sources import bank, shell
@@ -227,11 +227,11 @@ _MORE = f"""
         FROM active) GROUP BY yy, who, g),
     busiest AS (SELECT yy, min(coalesce(chat_name, 'Unknown')) AS label, count(*) AS n FROM chats GROUP BY yy, who
         QUALIFY row_number() OVER (PARTITION BY yy ORDER BY n DESC, label) = 1),
-    paid AS (SELECT *, year(ts) AS yy, {_SPEND} AS spent, contains(lower(category), 'delivery') OR contains(lower(category), 'takeaway')
-        OR regexp_matches(lower(coalesce(merchant, merchant_raw)), '(^|[^0-9a-z_])({_BRANDS})($|[^0-9a-z_])') AS food
+    paid AS (SELECT *, year(ts) AS yy, {_SPEND} AS spent, regexp_matches(category, '{money.DELIVERY_CATEGORY}')
+        OR regexp_matches(coalesce(merchant, merchant_raw), '{money.DELIVERY_MERCHANT}') AS food
         FROM transactions WHERE currency = (SELECT currency FROM cur)),
     kinds_of AS (SELECT yy, coalesce(category, 'Uncategorised') AS label, sum(spent)::DOUBLE AS v FROM paid
-        WHERE kind = 'refund' OR amount < 0 AND kind <> 'exchange' AND kind <> 'topup' GROUP BY yy, label
+        WHERE kind = 'refund' OR amount < 0 AND kind NOT IN ('exchange', 'topup') GROUP BY yy, label
         QUALIFY row_number() OVER (PARTITION BY yy ORDER BY sum(spent) DESC, label) = 1),
     calendar AS (SELECT yy, unnest(generate_series(make_timestamp(yy, 1, 1, 0, 0, 0), make_timestamp(yy, 12, 31, 0, 0, 0), INTERVAL 1 DAY))::DATE AS d FROM years),
     daily AS (SELECT ts::DATE AS d, sum(spent) AS s FROM paid GROUP BY 1),
