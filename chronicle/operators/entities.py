@@ -18,11 +18,13 @@ from chronicle.functions.hashing import content_hash
 from chronicle.functions.text import name_tokens, normalise_name, normalise_phone
 from chronicle.operators import rulings as R
 from chronicle.operators.merging import merge_component
+from chronicle.operators.ordered_merge import merge_in_rounds
 from chronicle.session import staged
 
 RARE_SHARE = 0.05
 AUTO, SUBSET, FUZZY, FUZZY_CAP = 0.95, 0.70, 0.85, 0.94
 PREFERRED_SOURCE = "whatsapp"
+PART_FACTS = 50_000
 
 
 # ---- identities -------------------------------------------------------------------------------
@@ -222,14 +224,16 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def cluster_identities(identities: DataFrame, decisions: DataFrame) -> DataFrame:
+def cluster_identities(identities: DataFrame, decisions: DataFrame, part_facts: int = PART_FACTS) -> DataFrame:
     """(identity, cluster): confirmed merges, then equal names and phones, unless refused.
 
     `decisions` are rulings, or pairs (see `rulings`).
 
     Connected parts without a refusal are clusters as they are. A part in which something refuses
     (a rejected pair, or two phone numbers of one source) is merged in the order of its pairs. The
-    identities that cannot change that order's outcome are settled before: see `_settled`.
+    identities that cannot change that order's outcome are settled before: see `_settled`. A part of at
+    most `part_facts` names, phones and rulings is merged in one task, a larger one in rounds over all
+    tasks, with the same result: see `ordered_merge`.
     """
     forms = staged(identity_forms(identities))
     phones = staged(identity_phones(identities))
@@ -251,7 +255,7 @@ def cluster_identities(identities: DataFrame, decisions: DataFrame) -> DataFrame
     settled = _settled(troubled.filter("NOT has_rejects"), groups, phones, merges)
     settled = staged(settled)
     rest = troubled.join(settled.select("identity"), "identity", "left_anti")
-    merged = _merge_in_order(rest, groups, phones, merges, rejects)
+    merged = _merge_in_order(rest, groups, phones, merges, rejects, part_facts)
     followers = settled.filter("leader <> identity").select("identity", F.col("leader"))
     alone = settled.filter("leader = identity").select("identity", F.col("identity").alias("cluster"))
     merged = staged(merged)
@@ -347,10 +351,10 @@ _CLUSTER = "identity string, cluster string"
 
 
 def _merge_in_order(
-    rest: DataFrame, groups: DataFrame, phones: DataFrame, merges: DataFrame, rejects: DataFrame
+    rest: DataFrame, groups: DataFrame, phones: DataFrame, merges: DataFrame, rejects: DataFrame, part_facts: int
 ) -> DataFrame:
-    """The ordered pass over what is left of the parts with refusals, one part at a time."""
-    part = rest.select("identity", "component")
+    """The ordered pass over what is left of the parts with refusals: small parts by task, large ones in rounds."""
+    part = staged(rest.select("identity", "component"))
     facts = (
         part.join(groups, "identity").select("component", F.lit("group").alias("what"), F.col("identity").alias("a"), F.col("grp").alias("b"), F.col("exact").alias("c"))
     ).unionByName(
@@ -362,7 +366,22 @@ def _merge_in_order(
     ).unionByName(
         rejects.join(part, "identity").select("component", F.lit("reject").alias("what"), F.col("identity").alias("a"), F.col("ruling").alias("b"), F.col("side").alias("c"))
     )
-    return facts.groupBy("component").applyInPandas(_merge_part, _CLUSTER)
+    facts = staged(facts)
+    large = staged(facts.groupBy("component").count().filter(F.col("count") > part_facts).select("component"))
+    if large.isEmpty():
+        return facts.groupBy("component").applyInPandas(_merge_part, _CLUSTER)
+    small = facts.join(large, "component", "left_anti").groupBy("component").applyInPandas(_merge_part, _CLUSTER)
+    return small.unionByName(_merge_large(part.join(large, "component", "left_semi"), groups, phones, confirmed, rejects))
+
+
+def _merge_large(part: DataFrame, groups: DataFrame, phones: DataFrame, confirmed: DataFrame, rejects: DataFrame) -> DataFrame:
+    nodes = staged(part.select(F.col("identity").alias("node")))
+    links = confirmed.join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
+    links = links.join(nodes.select(F.col("node").alias("b")), "b", "left_semi")
+    start = components(nodes, links).select(F.col("node").alias("identity"), F.col("component").alias("cluster"))
+    numbers = phones.filter("phone IS NOT NULL").select("identity", F.concat(F.lit("source:"), "source").alias("key"), F.col("phone").alias("value"))
+    sides = rejects.select("identity", F.concat(F.lit("ruling:"), "ruling").alias("key"), F.col("side").alias("value"))
+    return merge_in_rounds(start, groups, numbers.unionByName(sides))
 
 
 def _merge_part(facts: pd.DataFrame) -> pd.DataFrame:
