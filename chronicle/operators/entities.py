@@ -19,10 +19,11 @@ from chronicle.functions.text import name_tokens, normalise_name, normalise_phon
 from chronicle.operators import rulings as R
 from chronicle.operators.merging import merge_component
 from chronicle.operators.ordered_merge import merge_in_rounds
+from chronicle.operators.similar_names import FUZZY, candidates, same_numbers
 from chronicle.session import staged
 
 RARE_SHARE = 0.05
-AUTO, SUBSET, FUZZY, FUZZY_CAP = 0.95, 0.70, 0.85, 0.94
+AUTO, SUBSET, FUZZY_CAP = 0.95, 0.70, 0.94
 PREFERRED_SOURCE = "whatsapp"
 PART_FACTS = 50_000
 
@@ -118,52 +119,17 @@ def name_pairs(forms: DataFrame, rare: DataFrame) -> DataFrame:
     The ratio of two names depends on which comes first: `score` is that of name_a before name_b and
     `score_ba` the other. Which counts is decided by the identities that hold the names.
 
-    A pair meets at every rare token both names have and is kept at the first of them. The tests
-    run inside the join, so pairs that are not alike are never rows. Two names whose ratio reaches
-    .85 differ by few edits: the edit distance is at most .15 of their joint length, which the JVM
-    tests before any Python runs.
+    `similar_names` finds the candidates; the ratio is computed only for those a few edits apart.
     """
-    names = forms.select("normal", "tokens", "name_phone").distinct()
-    keyed = names.withColumn("token", F.explode("tokens")).join(rare.select("token"), "token")
-    by_name = keyed.groupBy("normal", "tokens", "name_phone").agg(
-        # Tokens of one name.
-        F.array_sort(F.collect_list("token")).alias("rare")
-    )
-    rows = staged(
-        by_name.withColumn("text", F.array_join("tokens", " ")).withColumn("token", F.explode("rare"))
-    )
-
-    def side(suffix: str) -> DataFrame:
-        names = ("normal", "tokens", "name_phone", "rare", "text")
-        return rows.select("token", *(F.col(c).alias(f"{c}_{suffix}") for c in names))
-
-    both_plain = F.col("name_phone_a").isNull() & F.col("name_phone_b").isNull()
-    same_phone = F.col("name_phone_a") == F.col("name_phone_b")
-    only_a = F.size(F.array_except("tokens_a", "tokens_b"))
-    only_b = F.size(F.array_except("tokens_b", "tokens_a"))
-    subset = ((only_a == 0) | (only_b == 0)) & ~((only_a == 0) & (only_b == 0))
-    joint = F.length("text_a") + F.length("text_b")
-    edits = F.floor(joint * (1 - FUZZY) + 1e-9).cast("int")
-    near = F.abs(F.length("text_a") - F.length("text_b")) <= edits
-    close = F.levenshtein("text_a", "text_b") <= edits
-    different = (only_a != 0) & (only_b != 0)
-    alike = (both_plain & (subset | (different & near & close))) | same_phone
-    first_shared = F.element_at(F.array_intersect("rare_a", "rare_b"), 1) == F.col("token")
-    before = F.struct("normal_a", F.coalesce("name_phone_a", F.lit(""))) < F.struct(
-        "normal_b", F.coalesce("name_phone_b", F.lit(""))
-    )
-    pairs = side("a").join(side("b"), "token").filter(before & first_shared & alike)
+    pairs = candidates(forms.select("normal", "tokens", "name_phone").distinct(), rare)
 
     def scored(first: str, second: str) -> Column:
-        ratio = F.when(both_plain & ~subset, _ratio()(first, second))
+        ratio = F.when(F.col("kind") == "near", _ratio()(first, second))
         fuzzy = F.when(ratio >= FUZZY, F.least(ratio, F.lit(FUZZY_CAP)))
-        return F.when(same_phone, 1.0).when(subset, SUBSET).otherwise(fuzzy)
+        return F.when(F.col("kind") == "phone", 1.0).when(F.col("kind") == "subset", SUBSET).otherwise(fuzzy)
 
     return pairs.select(
-        F.col("normal_a").alias("name_a"),
-        F.col("normal_b").alias("name_b"),
-        scored("text_a", "text_b").alias("score"),
-        scored("text_b", "text_a").alias("score_ba"),
+        "name_a", "name_b", scored("text_a", "text_b").alias("score"), scored("text_b", "text_a").alias("score_ba")
     ).filter("score IS NOT NULL OR score_ba IS NOT NULL")
 
 
@@ -182,7 +148,7 @@ def equal_groups(forms: DataFrame, phones: DataFrame, rare: DataFrame) -> DataFr
     spelling = F.when(F.col("name_phone").isNotNull(), "").otherwise(F.col("normal"))
     by_name = forms.select("identity", name.alias("grp"), spelling.alias("exact"))
     numbers = forms.filter("name_phone IS NOT NULL")
-    twins = name_pairs(numbers, rare).filter("score = 1").select(
+    twins = same_numbers(numbers.select("normal", "tokens", "name_phone").distinct(), rare).select(
         F.concat(F.lit("pair:"), "name_a", F.lit("\x1f"), "name_b").alias("grp"),
         F.explode(F.array("name_a", "name_b")).alias("normal"),
     )
@@ -367,7 +333,7 @@ def _merge_in_order(
         rejects.join(part, "identity").select("component", F.lit("reject").alias("what"), F.col("identity").alias("a"), F.col("ruling").alias("b"), F.col("side").alias("c"))
     )
     facts = staged(facts)
-    large = staged(facts.groupBy("component").count().filter(F.col("count") > part_facts).select("component"))
+    large = facts.groupBy("component").count().filter(F.col("count") > part_facts).select("component")
     if large.isEmpty():
         return facts.groupBy("component").applyInPandas(_merge_part, _CLUSTER)
     small = facts.join(large, "component", "left_anti").groupBy("component").applyInPandas(_merge_part, _CLUSTER)
