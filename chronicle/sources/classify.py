@@ -11,26 +11,47 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronicle.session import staged
 from chronicle.sources import bank, chat, plays, shell
 from chronicle.sources.lines import ORDER, base_name, hidden_splits, open_archive, open_file, relative_path
 
 SAMPLE = 65_536
 
 
-def heads(samples: DataFrame) -> DataFrame:
-    """(path, text): the first 64 KiB of each file; only first blocks are looked at."""
+def first_lines(samples: DataFrame) -> DataFrame:
+    """The lines that begin in the first 64 KiB of each file, cut to that length.
+
+    Blocks are byte offsets or are numbered through; either way, where one begins follows from the sizes of
+    those before it, and only blocks that begin in the first 64 KiB are looked at.
+    """
     size = F.octet_length("line") + F.octet_length("separator")
+    rows = samples.filter(F.col("block") < SAMPLE).withColumn("_size", size.cast("bigint"))
+    rows = rows.withColumn("line", F.substring("line", 1, SAMPLE))
+    # One row per block, and at most 65,536 blocks per file.
+    by_block = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        rows.groupBy("path", "block")
+        .agg(F.sum("_size").alias("_bytes"))
+        .select("path", "block", F.coalesce(F.sum("_bytes").over(by_block), F.lit(0)).alias("_begin"))
+        .filter(F.col("_begin") < SAMPLE)
+    )
+    # Written first: Spark knows the size and joins without a shuffle of the lines while it is small.
+    rows = rows.join(staged(blocks), ["path", "block"])
     before = (
         Window.partitionBy("path", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     )
-    rows = samples.filter(F.col("block") < SAMPLE)
-    rows = rows.withColumn("_at", F.col("block") + F.coalesce(F.sum(size).over(before), F.lit(0)))
-    rows = rows.filter(F.col("_at") < SAMPLE)
+    rows = rows.withColumn("_at", F.col("_begin") + F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    return rows.filter(F.col("_at") < SAMPLE)
+
+
+def heads(samples: DataFrame) -> DataFrame:
+    """(path, text): the first 64 KiB of each file."""
     # At most 64 KiB and one piece per file.
     pieces = F.array_sort(F.collect_list(F.struct(*ORDER, F.concat("line", "separator").alias("text"))))
     text = F.array_join(F.transform("p", lambda x: x["text"]), "")
     return (
-        rows.groupBy("path")
+        first_lines(samples)
+        .groupBy("path")
         .agg(pieces.alias("p"))
         .select("path", F.substring(text, 1, SAMPLE).alias("text"))
     )
