@@ -168,7 +168,8 @@ def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     n = F.col("n")
     step = F.when(F.col("s_suppkey") % 7 == 3, n * ((F.col("s_suppkey") + n) % 11 + 1)).otherwise(n * 30)
-    price = F.round(F.abs(F.col("s_acctbal")) / 100 + 1, 2).cast("decimal(18,2)")
+    # Cents are rounded as the SQL does it: Spark's own round to two places goes by the written digits of the double.
+    price = (F.round((F.abs(F.col("s_acctbal")) / 100 + 1) * 100) / 100).cast("decimal(18,2)")
     raised = F.when(
         (F.col("s_suppkey") % 2 == 0) & (n >= 6), (price * F.lit(1.2).cast("decimal(3,1)")).cast("decimal(18,2)")
     ).otherwise(price)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
 from pyspark.sql import functions as F
 
+import check
+from chronicle.plans.catalog import QUERIES
 from chronicle.sources import classify
 
 
@@ -16,3 +19,14 @@ def test_heads_of_many_short_blocks(spark):
     # What a file brings to one task stays near 64 KiB, however many blocks it has.
     held = classify.first_lines(samples).groupBy("path").agg(F.sum(F.length("line") + 1).alias("n"))
     assert [r["n"] < classify.SAMPLE + 501 for r in held.collect()] == [True, True]
+
+
+def test_subscriptions_round_prices_as_sql_does(spark, tmp_path):
+    connection = duckdb.connect()
+    connection.execute(
+        f"""COPY (SELECT (n * 2)::BIGINT AS s_suppkey, 'Supplier#' || n AS s_name, b AS s_acctbal FROM (
+        SELECT n, -(900 + n * 0.5)::DOUBLE AS b FROM range(200) r(n))) TO '{tmp_path}/supplier.parquet' (FORMAT parquet)"""
+    )
+    connection.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
+    for name in ("subscriptions", "price_runs"):
+        assert check.compare(QUERIES[name].run(spark, str(tmp_path)), connection, QUERIES[name].sql) is None
