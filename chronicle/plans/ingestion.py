@@ -177,7 +177,7 @@ register(
 )
 register(
     "transactions_refused",
-    lambda s, d: bank.transactions_from_csv(X.statement_lines(s, d))[1].groupBy("path").agg(F.count("*").alias("refused")),
+    lambda s, d: bank.parsed_csv(X.statement_lines(s, d))[1].groupBy("path").agg(F.count("*").alias("refused")),
     """SELECT 'statement' || (o_custkey % 6) || '.csv' AS path, count(*) AS refused FROM orders
     WHERE o_custkey % 6 < 3 AND o_orderkey % 50 = 7 AND o_orderstatus <> 'P' GROUP BY ALL""",
 )

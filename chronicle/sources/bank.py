@@ -224,6 +224,18 @@ def _time_pattern(mapping: BankMapping) -> str:
     return pattern
 
 
+def parsed_csv(
+    lines: DataFrame, tz: str = "UTC", mappings: tuple[BankMapping, ...] = MAPPINGS
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, refused records) from the lines of statements; rows have no ids yet."""
+    numbered = staged(number_lines(lines.withColumn("quotes", quotes(F.col("line")))))
+    files = staged(choose_mapping(numbered, mappings))
+    parts = [_of_mapping(numbered, files.filter(F.col("mapping") == m.id), m, tz) for m in mappings]
+    rows = reduce(DataFrame.unionByName, [part[0] for part in parts])
+    refused = reduce(DataFrame.unionByName, [part[1] for part in parts])
+    return rows, refused
+
+
 def transactions_from_csv(
     lines: DataFrame,
     tz: str = "UTC",
@@ -231,11 +243,7 @@ def transactions_from_csv(
     source: str = "bank_csv",
 ) -> tuple[DataFrame, DataFrame]:
     """(transactions, refused records) from the lines of statements."""
-    numbered = staged(number_lines(lines.withColumn("quotes", quotes(F.col("line")))))
-    files = staged(choose_mapping(numbered, mappings))
-    parts = [_of_mapping(numbered, files.filter(F.col("mapping") == m.id), m, tz) for m in mappings]
-    rows = reduce(DataFrame.unionByName, [part[0] for part in parts])
-    refused = reduce(DataFrame.unionByName, [part[1] for part in parts])
+    rows, refused = parsed_csv(lines, tz, mappings)
     fields = (
         F.col("mapping"),
         F.col("account"),

@@ -157,7 +157,10 @@ def _chat_name(path: Column) -> Column:
 
 
 def _heads(lines: DataFrame) -> DataFrame:
-    """Lines with their head fields, sender and first line of text."""
+    """Lines with their head fields, sender and text: what follows the head, or the whole of other lines.
+
+    `bare` holds the fields of a head read without any marks. The text is kept once.
+    """
     marked = F.regexp_replace("line", "^(?:\\x{FEFF}|" + MARKS + ")+", "")
     rows = lines.withColumn("line", marked).withColumn("head", _head(F.col("line")))
     rows = rows.withColumn("is_head", F.size("head") == 8)
@@ -173,12 +176,17 @@ def _heads(lines: DataFrame) -> DataFrame:
         SYSTEM_NOTICE
     )
     has_sender = F.col("raw_sender").isNotNull() & ~F.coalesce(notice, F.lit(False))
-    return rows.withColumns(
-        {
-            "sender": F.when(F.col("is_head") & has_sender, _strip(clean(F.col("raw_sender")))),
-            "first": clean(F.coalesce("raw_text", "body")),
-        }
-    ).drop("raw_sender", "raw_text", "body")
+    has_marks = F.col("line").rlike(MARKS)
+    bare = F.when(has_marks, _head(clean(F.col("line")))).otherwise(F.col("head"))
+    return rows.select(
+        "path",
+        *ORDER,
+        "is_head",
+        F.when(F.col("is_head"), F.slice("head", 1, 7)).alias("head"),
+        F.when(F.col("is_head"), F.slice(bare, 1, 7)).alias("bare"),
+        F.when(F.col("is_head") & has_sender, _strip(clean(F.col("raw_sender")))).alias("sender"),
+        F.when(F.col("is_head"), clean(F.coalesce("raw_text", "body"))).otherwise(clean(F.col("line"))).alias("text"),
+    )
 
 
 def _is_self(identity: Column, self_identities: Sequence[str]) -> Column:
@@ -198,14 +206,13 @@ def chat_files(heads: DataFrame, self_identities: Sequence[str]) -> DataFrame:
     The date order is known only at the end of a file, so everything is counted for both orders.
     Lines are first reduced to one row per file and person.
     """
-    has_marks = F.col("line").rlike(MARKS)
     # The date order is read from lines without any marks.
-    bare = F.when(has_marks, _head(clean(F.col("line")))).otherwise(F.col("head"))
+    bare = F.col("bare")
     possible = F.coalesce(wall_time(bare, F.lit(False)), wall_time(bare, F.lit(True))).isNotNull()
     identity = sender_id(F.col("sender"))
     mine = _is_self(identity, self_identities)
     named = F.col("sender") != ""
-    notice = F.col("sender").isNull() & F.col("first").rlike(GROUP_NOTICE)
+    notice = F.col("sender").isNull() & F.col("text").rlike(GROUP_NOTICE)
     other = F.when(named & ~mine, F.struct(*ORDER, "sender"))
     rows = heads.filter("is_head").select(
         "path",
@@ -302,29 +309,29 @@ def chat_messages(
     files = staged(chat_files(heads, self_identities))
     # The head travels with the first line of its record.
     first = F.concat_ws(
-        _CUT, F.array_join(F.slice("head", 1, 7), _CUT), F.coalesce("sender", F.lit(_NONE)), "first"
+        _CUT, F.array_join("head", _CUT), F.coalesce("sender", F.lit(_NONE)), "text"
     )
-    records = stitch(heads, F.col("is_head"), first, clean(F.col("line")), "\n")
+    records = stitch(heads, F.col("is_head"), first, F.col("text"), "\n")
     parts = F.split("text", _CUT, 9)
     records = records.select(
         "path",
         "block",
         "pos",
-        parts.alias("head"),
+        F.slice(parts, 1, 7).alias("head"),
         F.when(parts[7] != _NONE, parts[7]).alias("sender_name"),
         parts[8].alias("original"),
     )
-    records = join_facts(records, files, "path")
+    records = join_facts(records, files, "path", counted=heads)
     records = records.withColumn("wall", wall_time(F.col("head"), F.col("month_first")))
     good = F.col("wall").isNotNull() & (
         F.col("sender_name").isNull() | (F.col("sender_name") != "")
     )
     refused = records.filter(~good).select("path", "block", "pos", "original")
-    rows = records.filter(good).withColumn("ts", calendar.localise(F.col("wall"), tz))
+    rows = records.filter(good).withColumn("ts", calendar.localise(F.col("wall"), tz)).drop("head", "wall")
     if files.filter("chat_name IS NULL").isEmpty():
         rows = rows.withColumn("chat_id", F.col("named_id"))
     else:
-        rows = _with_chat_id(rows)
+        rows = _with_chat_id(rows, heads)
     rows = rows.withColumn("_iso", iso_local(F.col("ts"), tz))
     fields = (F.col("chat_id"), F.col("_iso"), F.col("sender_name"), F.col("original"))
     rows = occurrences(rows, "ts", *fields)
@@ -365,7 +372,7 @@ def chat_messages(
     return messages, refused
 
 
-def _with_chat_id(rows: DataFrame) -> DataFrame:
+def _with_chat_id(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """A chat without any name is identified by its first record."""
     unnamed = (
         rows.filter(F.col("chat_name").isNull())
@@ -381,6 +388,6 @@ def _with_chat_id(rows: DataFrame) -> DataFrame:
             ).alias("_unnamed"),
         )
     )
-    return join_facts(rows, unnamed, "path", "left").withColumn(
+    return join_facts(rows, unnamed, "path", "left", counted=heads).withColumn(
         "chat_id", F.when(F.col("chat_name").isNull(), F.col("_unnamed")).otherwise(F.col("named_id"))
     )

@@ -188,10 +188,10 @@ def stitch(lines: DataFrame, starts: Column, first: Column, rest: Column, by: st
     Result: path, block, pos and text of every record. Lines before the first record are dropped.
     """
     rows = lines.withColumn("_starts", starts)
-    rows = ordered.running_total(
-        rows, ["path"], "block", ORDER, F.col("_starts").cast("int"), "_record"
-    )
-    rows = rows.withColumn("_piece", F.when(F.col("_starts"), first).otherwise(rest))
+    # Only the piece travels, once, whatever it is made of.
+    piece = F.when(F.col("_starts"), first).otherwise(rest).alias("_piece")
+    rows = rows.select("path", *ORDER, F.col("_starts").cast("int").alias("_starts"), piece)
+    rows = ordered.running_total(rows, ["path"], "block", ORDER, F.col("_starts"), "_record")
     return join_pieces(rows, by)
 
 
@@ -244,9 +244,10 @@ def occurrences(rows: DataFrame, ts: str, *fields: Column) -> DataFrame:
     starts = ~F.col("_continues") | (F.col("_last_run") > 0)
     blocks = blocks.withColumn("_chain", F.sum(starts.cast("int")).over(by_block))
     blocks = blocks.withColumn("_joined", F.col("_chain") - (F.col("_continues") & (F.col("_last_run") > 0)).cast("int"))
-    edges = blocks.filter("_continues OR _next_continues").select(
+    # Written first, as are the counts below: they are few, and Spark joins by their size without moving the rows.
+    edges = staged(blocks.filter("_continues OR _next_continues").select(
         "path", "block", "_last_run", "_chain", "_joined", "_continues", "_next_continues"
-    )
+    ))
     counted = (
         runs.join(edges, ["path", "block"])
         .filter("(_run = 0 AND _continues) OR (_run = _last_run AND _next_continues)")
@@ -259,7 +260,7 @@ def occurrences(rows: DataFrame, ts: str, *fields: Column) -> DataFrame:
         .orderBy("block")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = (
+    carried = staged(
         counted.withColumn("_carried", F.sum("_copies").over(earlier))
         .filter("_carried > 0")
         .select("path", "block", "_run", "_identity", "_carried")

@@ -23,9 +23,7 @@ BASH = r"^#(\d+)$"
 
 def shell_formats(lines: DataFrame) -> DataFrame:
     """(path, shell): zsh when any line looks like it, else bash, else absent."""
-    zsh = F.max(F.col("line").rlike(ZSH))
-    bash = F.max(F.col("line").rlike(BASH))
-    shell = F.when(zsh, "zsh").when(bash, "bash")
+    shell = F.when(F.max("_zsh"), "zsh").when(F.max("_bash"), "bash")
     return lines.groupBy("path").agg(shell.alias("shell")).filter("shell IS NOT NULL")
 
 
@@ -71,8 +69,7 @@ def zsh_records(lines: DataFrame) -> DataFrame:
 
 def bash_records(lines: DataFrame) -> DataFrame:
     """The lines after each #epoch line, as one command."""
-    head = F.col("line").rlike(BASH)
-    records = stitch(lines, head, F.col("line"), F.col("line"), "\n")
+    records = stitch(lines, F.col("_bash"), F.col("line"), F.col("line"), "\n")
     split = r"(?s)^#(\d+)\n(.*)$"
     return records.filter(F.col("text").rlike(split)).select(
         "path",
@@ -114,7 +111,9 @@ def _events(records: DataFrame, shell: Column, source: str) -> tuple[DataFrame,
 
 def shell_events(lines: DataFrame, source: str = "shell_history") -> tuple[DataFrame, DataFrame]:
     """(events, refused records) from lines of both formats."""
-    tagged = staged(join_facts(lines, shell_formats(lines), "path"))
+    # The lines are read once; their marks tell the formats of the files.
+    marked = staged(lines.withColumns({"_zsh": F.col("line").rlike(ZSH), "_bash": F.col("line").rlike(BASH)}))
+    tagged = join_facts(marked, shell_formats(marked), "path")
     zsh = zsh_records(tagged.filter("shell = 'zsh'")).withColumn("shell", F.lit("zsh"))
     bash = bash_records(tagged.filter("shell = 'bash'")).withColumn("shell", F.lit("bash"))
     return _events(zsh.unionByName(bash), F.col("shell"), source)
