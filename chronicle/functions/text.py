@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -136,7 +137,8 @@ def _capitalised(text: Column) -> Column:
 
 def normalise_merchant(raw: Column) -> Column:
     """A card descriptor as a readable merchant name; descriptors without letters stay raw."""
-    value = F.regexp_replace(raw, "(?U)" + MERCHANT_URL, " ")
+    may_link = raw.contains(".") | raw.contains("://")
+    value = F.when(may_link, F.regexp_replace(raw, "(?U)" + MERCHANT_URL, " ")).otherwise(raw)
     value = F.regexp_replace(value, "(?U)" + MERCHANT_NOISE, " ")
     value = F.regexp_replace(value, "(?U)" + MERCHANT_WORDS, " ")
     tokens = F.filter(F.split(value, r"(?U)\s+"), lambda token: token != "")
@@ -172,6 +174,15 @@ SECRET_SHAPES = [
     r"(?U)\bxox[abpr]-[A-Za-z0-9-]+\b",
     r"(?U)\bAKIA[0-9A-Z]{16}\b",
 ]
+# Texts without any of these cannot match: a plain search saves most texts the pattern.
+EXPORT_SIGNS = ("export", "env")
+DATABASE_SIGNS = ("mysql", "mariadb")
+PREFIXED_SIGNS = [("--",), (":",), ("://",)]
+SHAPE_SIGNS = [("ghp_", "gho_", "github_pat_"), ("sk-",), ("xox",), ("AKIA",)]
+
+
+def _any_of(text: Column, signs: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (text.contains(sign) for sign in signs))
 
 
 def redact(column: Column) -> Column:
@@ -184,7 +195,7 @@ def redact(column: Column) -> Column:
     rebuilt = F.array_join(
         F.zip_with(outside, masked, lambda o, m: F.concat(o, F.coalesce(m, F.lit("")))), ""
     )
-    has_export = column.rlike(SECRET_EXPORT)
+    has_export = _any_of(column, EXPORT_SIGNS) & column.rlike(SECRET_EXPORT)
     text = F.when(has_export, rebuilt).otherwise(column)
     count = F.when(
         has_export,
@@ -200,24 +211,20 @@ def redact(column: Column) -> Column:
 def _mask_database(text: Column, count: Column) -> Column:
     """Chain the remaining passes through one struct, so that each sees the text before it."""
     state = F.struct(text.alias("text"), count.cast("bigint").alias("count"))
-    passes = [(SECRET_DATABASE, SECRET_ATTACHED, "$1")]
-    passes += [(None, pattern, "$1") for pattern in SECRET_PREFIXED]
-    passes += [(None, pattern, "") for pattern in SECRET_SHAPES]
-    for guard, pattern, kept in passes:
-        state = let(state, _pass(guard, pattern, kept))
+    passes = [(DATABASE_SIGNS, SECRET_DATABASE, SECRET_ATTACHED, "$1")]
+    passes += [(signs, None, pattern, "$1") for signs, pattern in zip(PREFIXED_SIGNS, SECRET_PREFIXED)]
+    passes += [(signs, None, pattern, "") for signs, pattern in zip(SHAPE_SIGNS, SECRET_SHAPES)]
+    for signs, guard, pattern, kept in passes:
+        state = let(state, _pass(signs, guard, pattern, kept))
     return state
 
 
-def _pass(guard: str | None, pattern: str, kept: str):
+def _pass(signs: tuple[str, ...], guard: str | None, pattern: str, kept: str):
     def step(state: Column) -> Column:
-        hits = F.regexp_count(state["text"], F.lit(pattern))
-        masked = F.regexp_replace(state["text"], pattern, kept + REDACTED)
-        if guard:
-            applies = state["text"].rlike(guard)
-            hits = F.when(applies, hits).otherwise(0)
-            masked = F.when(applies, masked).otherwise(state["text"])
-        return F.struct(
-            masked.alias("text"), (state["count"] + hits).cast("bigint").alias("count")
-        )
+        text = state["text"]
+        applies = _any_of(text, signs) & text.rlike(guard or pattern)
+        hits = F.when(text.isNotNull() & ~applies, 0).otherwise(F.regexp_count(text, F.lit(pattern)))
+        masked = F.when(applies, F.regexp_replace(text, pattern, kept + REDACTED)).otherwise(text)
+        return F.struct(masked.alias("text"), (state["count"] + hits).cast("bigint").alias("count"))
 
     return step
