@@ -30,7 +30,8 @@ def previous_values(
     rows = df.withColumn("_row", F.row_number().over(inside))
     for column in columns:
         rows = rows.withColumn("_in_" + column, F.lag(column).over(inside))
-    rows = rows.join(carry, [*keys, segment])
+    # The rows lie by key and segment already; a plan that broadcasts them instead, by a guess at their size, is ruled out.
+    rows = rows.join(carry.hint("merge"), [*keys, segment])
     for column, name in values.items():
         rows = rows.withColumn(
             name,
@@ -67,7 +68,7 @@ def running_total(
         )
     )
     rows = rows.withColumn("_inside", F.sum("_inc").over(inside))
-    rows = rows.join(offsets, [*keys, segment])
+    rows = rows.join(offsets.hint("merge"), [*keys, segment])
     return rows.withColumn(name, F.col("_inside") + F.col("_offset")).drop(
         "_inc", "_inside", "_offset"
     )

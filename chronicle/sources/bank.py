@@ -176,7 +176,7 @@ def csv_records(lines: DataFrame) -> DataFrame:
         .withColumn("_base", F.coalesce(F.sum("_starts").over(earlier), nothing))
         .select("path", "block", "_odd", "_base")
     )
-    rows = rows.join(blocks, ["path", "block"]).withColumn("_record", F.col("_base") + starts)
+    rows = rows.join(blocks.hint("merge"), ["path", "block"]).withColumn("_record", F.col("_base") + starts)
     return join_pieces(rows.withColumn("_piece", F.col("line")), "\n")
 
 

@@ -71,7 +71,8 @@ def json_records(pieces: DataFrame, member: str | None = None) -> DataFrame:
     change = F.when(F.col("_start") == 1, F.col("_depth1")).otherwise(F.col("_depth0"))
     blocks = blocks.withColumn("_change", change)
     blocks = blocks.withColumn("_base", F.coalesce(F.sum("_change").over(earlier), F.lit(0)))
-    rows = rows.join(blocks.select("path", "block", "_start", "_base"), ["path", "block"])
+    # Written first: one row per block, joined by its size without moving the pieces.
+    rows = rows.join(staged(blocks.select("path", "block", "_start", "_base")), ["path", "block"])
     inner = F.when(F.col("_start") == 1, F.col("_depth1")).otherwise(F.col("_depth0"))
     closes = (F.col("_seen") + F.col("_start")) % 2 == 0
     ends = closes & (F.col("_base") + inner == depth)

@@ -43,7 +43,8 @@ def _any(names: tuple[str, ...]) -> Column:
 def plays_from_json(records: DataFrame, source: str = "spotify") -> tuple[DataFrame, DataFrame]:
     """(rows, refused records) from (path, block, pos, record)."""
     rows = records.withColumn("name", base_name(F.col("path"))).filter(F.col("name").rlike(FILE_NAME))
-    rows = rows.withColumn("r", F.from_json("record", _SCHEMA))
+    # Behind a generator no filter reaches the record, which would parse it once for each field the filter names.
+    rows = rows.select("*", F.explode(F.array(F.from_json("record", _SCHEMA))).alias("r"))
     extended = F.col("name").startswith("Streaming_History_")
     duration = F.when(extended, F.col("r.ms_played")).otherwise(F.col("r.msPlayed"))
     number = duration.try_cast("decimal(38,6)")

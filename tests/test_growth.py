@@ -6,8 +6,13 @@ import duckdb
 from pyspark.sql import functions as F
 
 import check
+from chronicle.functions import joins, ordered
 from chronicle.plans.catalog import QUERIES
-from chronicle.sources import classify
+from chronicle.sources import classify, plays
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().sparkPlan().toString()
 
 
 def test_heads_of_many_short_blocks(spark):
@@ -30,3 +35,33 @@ def test_subscriptions_round_prices_as_sql_does(spark, tmp_path):
     connection.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
     for name in ("subscriptions", "price_runs"):
         assert check.compare(QUERIES[name].run(spark, str(tmp_path)), connection, QUERIES[name].sql) is None
+
+
+def test_facts_of_many_files_are_not_repeated(spark, monkeypatch):
+    monkeypatch.setattr(joins, "LARGE", 500)
+    hot = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id")))
+    rows = spark.range(3000).select(hot.alias("path"), F.expr("id div 5").alias("block"), "id")
+    facts = rows.select("path").distinct().withColumn("fact", F.concat(F.lit("f-"), "path"))
+    spread, repeated = joins.salted(rows, facts, "path", rows)
+    assert repeated.count() == 2000 + joins.SALTS
+    assert spread.filter("path = 'hot'").select("_salt").distinct().count() == joins.SALTS
+    for how, left in (("inner", 3000), ("left", 3000), ("left_semi", 3000)):
+        joined = joins.join_facts(rows, facts, "path", how)
+        assert joined.count() == left and (how == "left_semi" or joined.filter("fact <> concat('f-', path)").isEmpty())
+
+
+def test_running_totals_never_broadcast_their_rows(spark):
+    rows = spark.range(1000).selectExpr("'a' AS path", "id div 10 AS block", "id AS pos")
+    total = ordered.running_total(rows, ["path"], "block", ["block", "pos"], F.lit(1), "n")
+    before = ordered.previous_values(rows, ["path"], "block", ["block", "pos"], {"pos": "p"})
+    for made in (total, before):
+        assert "BroadcastHashJoin" not in plan(made)[1] and "SortMergeJoin" in plan(made)[1]
+    assert total.filter("n <> pos + 1").isEmpty() and before.filter("NOT p <=> nullif(pos - 1, -1)").isEmpty()
+
+
+def test_a_play_is_parsed_once(spark):
+    record = '{"ts": "2020-01-01T00:00:00Z", "ms_played": 5, "master_metadata_track_name": "t"}'
+    rows = [("Streaming_History_Audio_1.json", 0, 0, record), ("Streaming_History_Audio_1.json", 0, 1, "{}")]
+    records = spark.createDataFrame(rows, "path string, block bigint, pos bigint, record string")
+    parsed, refused = plays.plays_from_json(records)
+    assert plan(refused)[0].count("from_json") == 1 and parsed.count() == refused.count() == 1
