@@ -49,6 +49,13 @@ def running_total(
     name: str,
 ) -> DataFrame:
     """Add `name` = the sum of `increment` over the key's rows up to and including this one."""
+    return running_totals(df, keys, segment, order, {name: increment})
+
+
+def running_totals(
+    df: DataFrame, keys: Sequence[str], segment: str, order: Sequence[str], increments: dict[str, Column]
+) -> DataFrame:
+    """The running total of each increment under its name, all from one pass."""
     inside = (
         Window.partitionBy(*keys, segment)
         .orderBy(*order)
@@ -57,18 +64,20 @@ def running_total(
     earlier = (
         Window.partitionBy(*keys).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
     )
-    rows = df.withColumn("_inc", increment.cast("bigint"))
+    rows = df.withColumns({f"_inc_{name}": increment.cast("bigint") for name, increment in increments.items()})
     offsets = (
         rows.groupBy(*keys, segment)
-        .agg(F.sum("_inc").alias("_inc"))
+        .agg(*(F.sum(f"_inc_{name}").alias(f"_inc_{name}") for name in increments))
         .select(
             *keys,
             segment,
-            F.coalesce(F.sum("_inc").over(earlier), F.lit(0).cast("bigint")).alias("_offset"),
+            *(
+                F.coalesce(F.sum(f"_inc_{name}").over(earlier), F.lit(0).cast("bigint")).alias(f"_offset_{name}")
+                for name in increments
+            ),
         )
     )
-    rows = rows.withColumn("_inside", F.sum("_inc").over(inside))
+    rows = rows.withColumns({f"_inside_{name}": F.sum(f"_inc_{name}").over(inside) for name in increments})
     rows = rows.join(offsets.hint("merge"), [*keys, segment])
-    return rows.withColumn(name, F.col("_inside") + F.col("_offset")).drop(
-        "_inc", "_inside", "_offset"
-    )
+    rows = rows.withColumns({name: F.col(f"_inside_{name}") + F.col(f"_offset_{name}") for name in increments})
+    return rows.drop(*(f"_{part}_{name}" for part in ("inc", "inside", "offset") for name in increments))

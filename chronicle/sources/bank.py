@@ -10,12 +10,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronicle.functions import calendar
+from chronicle.functions import calendar, ordered
 from chronicle.functions.hashing import content_hash, iso_instant
 from chronicle.functions.joins import join_facts
 from chronicle.functions.text import normalise_merchant
 from chronicle.session import staged
-from chronicle.sources.lines import ORDER, decoded, join_pieces, number_lines, occurrences
+from chronicle.sources.lines import ORDER, decoded, join_pieces, occurrences
 
 # strptime fields and their datetime pattern.
 _TIME_FIELDS = {"%Y": "yyyy", "%y": "yy", "%m": "M", "%d": "d", "%H": "H", "%M": "m", "%S": "s"}
@@ -128,56 +128,46 @@ REVOLUT = BankMapping(
 MAPPINGS = (EXAMPLE_BANK, REVOLUT)
 
 
+def _field(delimiter: str) -> str:
+    """The pattern of a field behind its delimiter."""
+    cut = re.escape(delimiter)
+    return cut + r'(?:"(?:[^"]++|"")*+"|[^' + cut + r"]*)"
+
+
+def _bare(found: Column) -> Column:
+    """A found field without its delimiter and quotes."""
+    f = F.substring(found, F.lit(2), F.length(found))
+    inner = F.replace(F.substring(f, F.lit(2), F.greatest(F.length(f) - 2, F.lit(0))), F.lit('""'), F.lit('"'))
+    return F.when(F.startswith(f, F.lit('"')), inner).otherwise(f)
+
+
 def split_csv(record: Column, delimiter: str) -> Column:
     """Fields of one CSV record; doubled quotes inside a quoted field are one quote."""
-    cut = re.escape(delimiter)
-    pattern = cut + r'(?:"(?:[^"]++|"")*+"|[^' + cut + r"]*)"
-    found = F.regexp_extract_all(F.concat(F.lit(delimiter), record), F.lit(pattern), F.lit(0))
-    bare = F.transform(found, lambda f: F.substring(f, F.lit(2), F.length(f)))
-    return F.transform(
-        bare,
-        lambda f: F.when(
-            F.startswith(f, F.lit('"')),
-            F.replace(
-                F.substring(f, F.lit(2), F.greatest(F.length(f) - 2, F.lit(0))), F.lit('""'), F.lit('"')
-            ),
-        ).otherwise(f),
-    )
+    found = F.regexp_extract_all(F.concat(F.lit(delimiter), record), F.lit(_field(delimiter)), F.lit(0))
+    return F.transform(found, _bare)
+
+
+def first_field(record: Column, delimiter: str) -> Column:
+    """The first of `split_csv`'s fields."""
+    return _bare(F.regexp_extract(F.concat(F.lit(delimiter), record), _field(delimiter), 0))
 
 
 def quotes(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
 
 
 def csv_records(lines: DataFrame) -> DataFrame:
-    """Records of lines with their `quotes`: a line break inside quotes does not end a record.
+    """Records of lines with their `quotes` and those `_before` them: a line break inside quotes does not end a record.
 
-    A line starts a record when the quotes before it are even. Whether a block begins inside
-    quotes is known only from the blocks before it, so record starts are counted for both cases.
+    A line starts a record when the quotes before it are even, and is all of it when its own are even too.
+    So only the lines of records with line breaks are counted through and brought together.
     """
-    upto = (
-        Window.partitionBy("path", "block")
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    rows = lines.withColumn("_seen", F.sum("quotes").over(upto))
-    before = F.col("_seen") - F.col("quotes")
-    for odd in (0, 1):
-        starts = ((before + odd) % 2 == 0).cast("int")
-        rows = rows.withColumn(f"_starts{odd}", F.sum(starts).over(upto))
-    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    nothing = F.lit(0).cast("bigint")
-    starts = F.when(F.col("_odd") == 1, F.col("_starts1")).otherwise(F.col("_starts0"))
-    blocks = (
-        rows.groupBy("path", "block")
-        .agg(*(F.max_by(name, "pos").alias(name) for name in ("_seen", "_starts0", "_starts1")))
-        .withColumn("_odd", F.coalesce(F.sum("_seen").over(earlier), nothing) % 2)
-        .withColumn("_starts", starts)
-        .withColumn("_base", F.coalesce(F.sum("_starts").over(earlier), nothing))
-        .select("path", "block", "_odd", "_base")
-    )
-    rows = rows.join(blocks.hint("merge"), ["path", "block"]).withColumn("_record", F.col("_base") + starts)
-    return join_pieces(rows.withColumn("_piece", F.col("line")), "\n")
+    begins, even = F.col("_before") % 2 == 0, F.col("quotes") % 2 == 0
+    whole = lines.filter(begins & even).select("path", *ORDER, F.col("line").alias("text"))
+    pieces = lines.filter(~(begins & even)).select("path", *ORDER, begins.cast("int").alias("_starts"), F.col("line").alias("_piece"))
+    pieces = ordered.running_total(pieces, ["path"], "block", ORDER, F.col("_starts"), "_record")
+    # Written first: the end of a statement is looked for before its records are read.
+    return whole.unionByName(staged(join_pieces(pieces, "\n")))
 
 
 def _headers(fields: Column) -> Column:
@@ -187,7 +177,10 @@ def _headers(fields: Column) -> Column:
 def choose_mapping(
     numbered: DataFrame, mappings: tuple[BankMapping, ...] = MAPPINGS
 ) -> DataFrame:
-    """(path, mapping, header): the first mapping whose headers stand in a file's first 64 KiB."""
+    """(path, mapping, header, skipped): the first mapping whose headers stand in a file's first 64 KiB.
+
+    `skipped` is the number of quotes up to the end of the header, which open no field of a record.
+    """
     last = max(m.skip_rows for m in mappings)
     top = numbered.filter((F.col("block") < 65_536) & (F.col("line_no") <= last))
     chosen = []
@@ -201,12 +194,13 @@ def choose_mapping(
                 F.lit(rank).alias("rank"),
                 F.lit(mapping.id).alias("mapping"),
                 header.alias("header"),
+                (F.col("_before") + F.col("quotes")).alias("skipped"),
             )
             .filter(F.size(F.array_except(wanted, F.col("header"))) == 0)
         )
     found = reduce(DataFrame.unionByName, chosen)
-    best = F.min_by(F.struct("mapping", "header"), "rank").alias("best")
-    return found.groupBy("path").agg(best).select("path", "best.mapping", "best.header")
+    best = F.min_by(F.struct("mapping", "header", "skipped"), "rank").alias("best")
+    return found.groupBy("path").agg(best).select("path", "best.*")
 
 
 def _money(text: Column, mapping: BankMapping) -> Column:
@@ -228,7 +222,11 @@ def parsed_csv(
     lines: DataFrame, tz: str = "UTC", mappings: tuple[BankMapping, ...] = MAPPINGS
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, refused records) from the lines of statements; rows have no ids yet."""
-    numbered = staged(number_lines(lines.withColumn("quotes", quotes(F.col("line")))))
+    counted = lines.withColumn("quotes", quotes(F.col("line")))
+    totals = {"line_no": F.lit(1), "_before": F.col("quotes")}
+    numbered = ordered.running_totals(counted, ["path"], "block", ORDER, totals)
+    less = {"line_no": F.col("line_no") - 1, "_before": F.col("_before") - F.col("quotes")}
+    numbered = staged(numbered.withColumns(less))
     files = staged(choose_mapping(numbered, mappings))
     parts = [_of_mapping(numbered, files.filter(F.col("mapping") == m.id), m, tz) for m in mappings]
     rows = reduce(DataFrame.unionByName, [part[0] for part in parts])
@@ -270,21 +268,23 @@ def _of_mapping(
     numbered: DataFrame, files: DataFrame, mapping: BankMapping, tz: str
 ) -> tuple[DataFrame, DataFrame]:
     lines = numbered.filter(F.col("line_no") > mapping.skip_rows)
-    lines = join_facts(lines, files.select("path"), "path", "left_semi")
-    lines = lines.withColumn("line", decoded(F.col("line"), mapping.encoding))
+    lines = join_facts(lines, files.select("path", "skipped"), "path")
+    lines = lines.withColumns(
+        {"line": decoded(F.col("line"), mapping.encoding), "_before": F.col("_before") - F.col("skipped")}
+    )
     records = csv_records(lines).filter(F.col("text") != "")
-    records = records.withColumn("fields", split_csv(F.col("text"), mapping.delimiter))
+    split = records.withColumn("fields", split_csv(F.col("text"), mapping.delimiter))
+    facts = files.select("path", "header")
     if mapping.footer:
-        records = staged(records)
         ends = (
-            records.filter(F.element_at("fields", 1).rlike(mapping.footer))
+            records.filter(first_field(F.col("text"), mapping.delimiter).rlike(mapping.footer))
             .groupBy("path")
             .agg(F.min(F.struct(*ORDER)).alias("_end"))
         )
-        records = join_facts(records, ends, "path", "left").filter(
-            F.col("_end").isNull() | (F.struct(*ORDER) < F.col("_end"))
-        )
-    records = join_facts(records, files.select("path", "header"), "path")
+        facts = facts.join(ends, "path", "left")
+    records = join_facts(split, facts, "path", counted=numbered)
+    if mapping.footer:
+        records = records.filter(F.col("_end").isNull() | (F.struct(*ORDER) < F.col("_end")))
 
     def value(name: str | None) -> Column:
         if not name:

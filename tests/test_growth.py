@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import check
 from chronicle.functions import joins, ordered
 from chronicle.plans.catalog import QUERIES
-from chronicle.sources import classify, plays
+from chronicle.sources import bank, classify, plays
 
 
 def plan(df):
@@ -65,3 +65,18 @@ def test_a_play_is_parsed_once(spark):
     records = spark.createDataFrame(rows, "path string, block bigint, pos bigint, record string")
     parsed, refused = plays.plays_from_json(records)
     assert plan(refused)[0].count("from_json") == 1 and parsed.count() == refused.count() == 1
+
+
+def test_only_records_with_line_breaks_are_grouped(spark, monkeypatch):
+    given = []
+    join = bank.join_pieces
+    monkeypatch.setattr(bank, "join_pieces", lambda rows, by: given.append(rows.count()) or join(rows, by))
+    # The quote before the header opens no field of a record.
+    head = ['Statement 5"', "All accounts", "Date;Details;Debit;Credit;Balance;Category"]
+    body = [f'01.01.2024;"a\n""b"" {n}";1,00;;1,00;x' if n % 10 == 0 else f"01.01.2024;shop {n};1,00;;1,00;x" for n in range(300)]
+    text = "\n".join([*head, *body, "END OF STATEMENT", "01.01.2024;late;1,00;;1,00;x"]).split("\n")
+    pieces = spark.createDataFrame([("s.csv", n // 7, n, line) for n, line in enumerate(text)], "path string, block bigint, pos bigint, line string")
+    rows, refused = bank.parsed_csv(pieces)
+    found = [r["merchant_raw"] for r in rows.orderBy("block", "pos").collect()]
+    assert found == [f'a\n"b" {n}' if n % 10 == 0 else f"shop {n}" for n in range(300)]
+    assert refused.count() == 0 and given == [60, 0]
