@@ -1,6 +1,6 @@
 """Ordered pieces of text files.
 
-A piece is (path, block, pos, line): `block` is where the file split starts and `pos` ascends
+A piece is (path, block, pos, line): `block` ascends with the byte a file split starts at and `pos` ascends
 inside it, so (block, pos) is the order of the file although many tasks read it.
 """
 
@@ -22,9 +22,21 @@ from chronicle.functions.hashing import content_hash
 from chronicle.session import staged
 
 ORDER = ("block", "pos")
+BLOCK_LINES = 1 << 14
 BOM = "\ufeff"
 
 
+def blocks(pieces: DataFrame) -> DataFrame:
+    """Pieces whose `block` is the byte a split starts at, in blocks of at most 16,384 lines.
+
+    What is done inside a block is done in one task, and a split has millions of short lines. `pos` counts the
+    lines of a task in its low 33 bits. A task reads no more lines than a split may have bytes, so the blocks of a
+    split stay below the start of the next one and (block, pos) remains the order of the file.
+    """
+    low = F.col("pos").bitwiseAND(F.lit((1 << 33) - 1))
+    return pieces.withColumn("block", F.col("block") + F.floor(low / BLOCK_LINES).cast("bigint"))
+
+
 def relative_path(path: Column, root: str | None) -> Column:
     """A file URI as a plain path, below `root` if that is given."""
     plain = F.url_decode(F.regexp_replace(F.regexp_replace(path, r"^file:/+", "/"), r"\+", "%2B"))
@@ -66,6 +78,7 @@ def read_lines(
         F.monotonically_increasing_id().alias("pos"),
         F.col("value").alias("line"),
     )
+    rows = blocks(rows)
     if hidden:
         rows = rows.unionByName(_read_hidden(spark, [paths] if root else list(paths), glob, exclude, separator))
     rows = rows.withColumn("path", relative_path(F.col("path"), root))
@@ -121,7 +134,7 @@ def _read_hidden(spark, roots, glob, exclude, separator) -> DataFrame:
                             {"path": path, "block": start, "pos": range(first, first + len(texts)), "line": texts}
                         )
 
-    return frame.mapInPandas(read, _LINE)
+    return blocks(frame.mapInPandas(read, _LINE))
 
 
 def _lines_of_range(stream, start: int, end: int, cut: bytes, chunk: int = 1 << 20):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chronicle.operators.ingest import run_import
-from chronicle.sources.lines import relative_path
+from chronicle.sources.lines import blocks, relative_path
 
 Parser = Callable[[DataFrame], DataFrame]
 
@@ -43,7 +43,7 @@ def incremental_ingest(
     )
 
     def store(batch: DataFrame, epoch: int) -> None:
-        lines = batch.withColumn("pos", F.monotonically_increasing_id())
+        lines = blocks(batch.withColumn("pos", F.monotonically_increasing_id()))
         run_import(parse(lines), table, warehouse, connector, tz, version=f"stream-{epoch}")
 
     return (

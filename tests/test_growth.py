@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import check
 from chronicle.functions import joins, ordered
 from chronicle.plans.catalog import QUERIES
-from chronicle.sources import bank, classify, plays
+from chronicle.sources import bank, classify, lines, plays
+from chronicle.streaming.incremental import incremental_ingest
 
 
 def plan(df):
@@ -80,3 +81,34 @@ def test_only_records_with_line_breaks_are_grouped(spark, monkeypatch):
     found = [r["merchant_raw"] for r in rows.orderBy("block", "pos").collect()]
     assert found == [f'a\n"b" {n}' if n % 10 == 0 else f"shop {n}" for n in range(300)]
     assert refused.count() == 0 and given == [60, 0]
+
+
+def test_splits_are_read_in_short_blocks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("".join(f"{n}\n" for n in range(100_000)))
+    longest = "max(n)", "count(*)"
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (kept, "100k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            pieces = lines.read_lines(spark, str(tmp_path / "in"))
+            n = pieces.groupBy("block").agg(F.count("*").alias("n")).selectExpr(*longest).first()
+            assert n[0] <= lines.BLOCK_LINES and n[1] >= 7
+            assert lines.number_lines(pieces).filter("line_no <> CAST(line AS bigint)").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    seen = []
+
+    def parse(pieces):
+        seen.append(pieces.groupBy("block").agg(F.count("*").alias("n")).selectExpr(*longest).first())
+        place = F.struct("block", "pos")
+        assert pieces.agg(F.max_by("line", place).alias("l")).first()["l"] == "99999"
+        return pieces.selectExpr(
+            "path", "block", "pos", "'s' AS source", "path AS source_file", "line AS source_row_id",
+            "timestamp_seconds(1) AS ts", "'k' AS kind", "line AS title",
+        ).limit(1)
+
+    incremental_ingest(
+        spark, str(tmp_path / "in"), parse, "events", str(tmp_path / "w"), str(tmp_path / "c"), "shell_history"
+    ).awaitTermination()
+    assert [n[0] <= lines.BLOCK_LINES and n[1] == 7 for n in seen] == [True]
